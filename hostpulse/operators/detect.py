@@ -63,11 +63,11 @@ def _window_seeds(only_hot: DataFrame, size: int) -> DataFrame:
     per_chunk = only_hot.groupBy("host_id", "chunk").agg(
         F.sum(F.col("is_new").cast("long")).alias("n")
     )
-    keep = max(size - 1, 1)
-    tails = window_tails(only_hot.where("is_new"), ["host_id", "chunk"], size=keep)
+    # A repeat before the chunk's first new event evaluates a window that lies wholly before it.
+    tails = window_tails(only_hot.where("is_new"), ["host_id", "chunk"], size=size)
     # Chunks of repeats only have no tail; numbering the others lets one range frame skip them.
     filled = Window.partitionBy("host_id").orderBy("chunk")
-    reach = Window.partitionBy("host_id").orderBy("filled").rangeBetween(-(keep - 1), 0)
+    reach = Window.partitionBy("host_id").orderBy("filled").rangeBetween(-(size - 1), 0)
     state = (
         per_chunk.join(tails, ["host_id", "chunk"], "left")
         .withColumn("filled", F.sum(F.when(F.col("tail").isNotNull(), 1).otherwise(0)).over(filled))
@@ -75,7 +75,7 @@ def _window_seeds(only_hot: DataFrame, size: int) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum("n").over(earlier_chunks("host_id")), F.lit(0)))
     )
     known = F.sort_array(F.lag("known").over(filled))
-    last = F.when(F.size(known) > keep, F.slice(known, -keep, keep)).otherwise(known)
+    last = F.when(F.size(known) > size, F.slice(known, -size, size)).otherwise(known)
     return (
         state.withColumn("known", last)
         .where(F.size("known") > 0)
@@ -391,4 +391,4 @@ def window_state(
             .groupBy("host_id")
             .agg(F.sum("seen").alias("seen"))
         )
-    return counts.join(window_tails(fresh, ["host_id"], size=max(window - 1, 1)), "host_id")
+    return counts.join(window_tails(fresh, ["host_id"], size=window), "host_id")
