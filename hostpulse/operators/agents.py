@@ -98,15 +98,12 @@ def queue_depth_timeline(
     every, only_hot = split_hot(queue_events, "host_id", "seq", target=target)
     chunk = ["host_id", "chunk"]
 
-    def through(partition: list[str]) -> Window:
-        return (
-            Window.partitionBy(*partition)
-            .orderBy(F.asc_nulls_first("seq"))
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
+    order = Window.partitionBy(*chunk).orderBy(F.asc_nulls_first("seq"))
+    through = order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
 
     per_chunk = (
-        only_hot.withColumn("total", F.sum("change").over(through(chunk)))
+        only_hot.withColumn("total", F.sum("change").over(through))
         .groupBy(*chunk)
         .agg(F.sum("change").alias("sum"), F.max("total").alias("top"))
     )
@@ -118,15 +115,15 @@ def queue_depth_timeline(
         .select(*chunk, "base", "peak")
     )
     seeded = every.unionByName(seeds, allowMissingColumns=True)
-    window = through(chunk)
     step = F.coalesce("base", F.col("change").cast("long"))
-    lag = Window.partitionBy(*chunk).orderBy(F.asc_nulls_first("seq"))
-    excess = F.greatest(F.col("highest") - capacity, F.lit(0))
+    reached = F.greatest(F.coalesce("peak", "total"), "total")
+
+    def excess(frame: Window) -> Column:
+        return F.greatest(F.coalesce(F.max(reached).over(frame), F.lit(0)) - capacity, F.lit(0))
+
     return (
-        seeded.withColumn("total", F.sum(step).over(window))
-        .withColumn("highest", F.max(F.greatest(F.coalesce("peak", "total"), "total")).over(window))
-        .withColumn("excess", excess)
-        .withColumn("excess_before", F.coalesce(F.lag("excess").over(lag), F.lit(0)))
+        seeded.withColumn("total", F.sum(step).over(through))
+        .select("*", excess(through).alias("excess"), excess(earlier).alias("excess_before"))
         .where(F.col("seq").isNotNull())
         .select(
             *queue_events.columns,
@@ -190,9 +187,12 @@ def delivery_stalls(
     )
     gap = F.col("at_us") - F.coalesce("last_ok", "first_start")
     checks = (
-        seeded.withColumn("last_failed", F.last("failed", ignorenulls=True).over(through))
-        .withColumn("last_ok", F.max("ok_at").over(through))
-        .withColumn("first_start", F.min("start").over(through))
+        seeded.select(
+            "*",
+            F.last("failed", ignorenulls=True).over(through).alias("last_failed"),
+            F.max("ok_at").over(through).alias("last_ok"),
+            F.min("start").over(through).alias("first_start"),
+        )
         .where(F.col("tick"))
         .withColumn("gap", gap)
         .withColumn(

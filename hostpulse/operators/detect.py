@@ -111,18 +111,17 @@ def evaluations(
     messages.  ``tails`` is the window state left by earlier batches.  All frames share one exchange
     on (host_id, chunk); a hot host is split and its chunks start from seed rows.
     """
-    rows = deliveries.select("host_id", "ingest_seq", "is_new", *MEMBER)
+    rows = deliveries.select(
+        "host_id",
+        "ingest_seq",
+        "is_new",
+        *MEMBER,
+        F.lit(None).cast("long").alias("offset"),
+        F.lit(False).alias("seed"),
+    )
     if tails is not None:
-        rows = rows.withColumn("offset", F.lit(None).cast("long")).withColumn(
-            "seed", F.lit(False)
-        )
-        past = _stored_seeds(tails).withColumn("is_new", F.lit(True)).withColumn(
-            "seed", F.lit(True)
-        )
-        rows = rows.unionByName(past)
-    else:
-        rows = rows.withColumn("offset", F.lit(None).cast("long")).withColumn(
-            "seed", F.lit(False)
+        rows = rows.unionByName(
+            _stored_seeds(tails).select("*", F.lit(True).alias("is_new"), F.lit(True).alias("seed"))
         )
     every, only_hot = split_hot(rows, "host_id", "ingest_seq", target=target)
     seeds = _window_seeds(only_hot, window)
@@ -137,31 +136,43 @@ def evaluations(
     seeds = seeds.withColumn("is_new", F.lit(True)).withColumn("seed", F.lit(True))
     seeded = every.unionByName(seeds)
 
+    # Two window steps, each with one sort: positions by arrival, then the frames by position.
+    # Positions and not rows bound the frames, because repeats between new events do not count.
     arrival = Window.partitionBy("host_id", "chunk").orderBy("ingest_seq")
-    # Positions and not rows bound the frame, because repeats between new events do not count.
-    last_events = (
-        Window.partitionBy("host_id", "chunk").orderBy("place").rangeBetween(-(window - 1), 0)
-    )
-    newest = Window.partitionBy("host_id", "chunk").orderBy("place").rangeBetween(0, 0)
-    chunk_rows = Window.partitionBy("host_id", "chunk")
+    place = Window.partitionBy("host_id", "chunk").orderBy("place")
+    last_events, newest = place.rangeBetween(-(window - 1), 0), place.rangeBetween(0, 0)
+
+    def if_new(column: str | Column) -> Column:
+        return F.when(F.col("is_new"), column if isinstance(column, Column) else F.col(column))
+
     error = F.col("is_new") & F.col("level").isin(*S.ERROR_LEVELS)
-    reading = F.max(
-        F.when(F.col("is_new"), F.struct("event_timestamp", "disk_usage", "disk_path"))
-    ).over(newest)
+    reading = F.struct("event_timestamp", "disk_usage", "disk_path")
+    counted = F.col("is_new").cast("long")
     return (
-        seeded.withColumn("place", F.sum(F.col("is_new").cast("long")).over(arrival))
+        seeded.select(
+            "*",
+            F.sum(counted).over(arrival).alias("place"),
+            # Seeds are the oldest rows of their chunk, so every other row sees their offset.
+            F.coalesce(F.max("offset").over(arrival), F.lit(0)).alias("skipped"),
+        )
         .where(F.col("place") > 0)
-        .withColumn("offset", F.coalesce(F.max("offset").over(chunk_rows), F.lit(0)))
-        .withColumn("avg_cpu", F.avg(F.when(F.col("is_new"), F.col("cpu_usage"))).over(last_events))
-        .withColumn("avg_ram", F.avg(F.when(F.col("is_new"), F.col("ram_usage"))).over(last_events))
-        .withColumn("size", F.sum(F.col("is_new").cast("long")).over(last_events))
-        .withColumn("errors", F.collect_list(F.when(error, F.col("message"))).over(last_events))
-        .withColumn("reading", reading)
+        .select(
+            "ingest_seq",
+            "host_id",
+            "is_new",
+            "seed",
+            (F.col("skipped") + F.col("place")).alias("pos"),
+            F.avg(if_new("cpu_usage")).over(last_events).alias("avg_cpu"),
+            F.avg(if_new("ram_usage")).over(last_events).alias("avg_ram"),
+            F.sum(counted).over(last_events).alias("size"),
+            F.collect_list(F.when(error, F.col("message"))).over(last_events).alias("errors"),
+            F.max(if_new(reading)).over(newest).alias("reading"),
+        )
         .where(~F.col("seed"))
         .select(
             "ingest_seq",
             "host_id",
-            (F.col("offset") + F.col("place")).alias("pos"),
+            "pos",
             "is_new",
             F.col("reading.event_timestamp").alias("now"),
             "avg_cpu",

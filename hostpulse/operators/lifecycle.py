@@ -84,8 +84,10 @@ def _stored_seeds(state: DataFrame) -> DataFrame:
 def _folded(
     signals: DataFrame, state: DataFrame | None, target: int
 ) -> DataFrame:
-    """Signals with the numbers before (``opened0`` …) and after each row, seed rows still inside."""
-    # No close or ACK can matter before the first breach, so unseeded numbers start at zero.
+    """Signals with the running numbers through and before each row, seed rows still inside.
+
+    Two window steps over one exchange and one sort.
+    """
     if state is not None:
         # The stored state goes into every chunk as a seed: chunk seeds only add this batch.
         every, only_hot = split_hot(signals, "alert_key", "ingest_seq", target=target)
@@ -98,26 +100,33 @@ def _folded(
         seeds = _lifecycle_seeds(only_hot)
     seeded = every.unionByName(seeds, allowMissingColumns=True)
 
-    chunk = ["alert_key", "chunk"]
-    through = (
-        Window.partitionBy(*chunk)
-        .orderBy(F.asc_nulls_first("ingest_seq"), "sub_seq")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("alert_key", "chunk").orderBy(
+        F.asc_nulls_first("ingest_seq"), "sub_seq"
     )
+    through = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     breach = F.coalesce(F.expr(_IS_BREACH), F.lit(False))
     step = F.coalesce("seed.opened", breach.cast("long"))
     close = F.coalesce("seed.closed", F.when(F.expr(_IS_CLOSE), F.col("opened")))
     ack = F.coalesce("seed.seen", F.when(F.expr(_IS_ACK), F.col("opened")))
     first = F.coalesce("seed.first", _first_breach())
     last = F.coalesce("seed.last", _last_breach())
-    return (
-        seeded.withColumn("opened", F.sum(step).over(through))
-        .withColumn("closed", F.coalesce(F.max(close).over(through), F.lit(0)))
-        .withColumn("seen_now", F.max(ack).over(through))
-        .withColumn("seen", F.coalesce("seen_now", F.lit(0)))
-        .withColumn("first", F.first(first, ignorenulls=True).over(through))
-        .withColumn("last", F.last(last, ignorenulls=True).over(through))
-        .drop("seen_now")
+
+    def highest(column: Column, frame: Window) -> Column:
+        # No close or ACK matters before the first breach, so unseeded numbers start at zero.
+        return F.coalesce(F.max(column).over(frame), F.lit(0))
+
+    return seeded.select(
+        "*",
+        F.sum(step).over(through).alias("opened"),
+        F.first(first, ignorenulls=True).over(through).alias("first"),
+        F.last(last, ignorenulls=True).over(through).alias("last"),
+    ).select(
+        "*",
+        highest(close, through).alias("closed"),
+        highest(ack, through).alias("seen"),
+        highest(close, before).alias("closed_before"),
+        highest(ack, before).alias("seen_before"),
     )
 
 
@@ -154,15 +163,8 @@ def alert_transitions(
     """
     breach, close, ack = F.expr(_IS_BREACH), F.expr(_IS_CLOSE), F.expr(_IS_ACK)
     opened_before = F.col("opened") - F.when(breach, 1).otherwise(0)
-    # A close raises ``closed`` to ``opened`` and an ACK raises ``seen``; the values just before
-    # the row are therefore lagged.
-    before = Window.partitionBy("alert_key", "chunk").orderBy(
-        F.asc_nulls_first("ingest_seq"), "sub_seq"
-    )
     folded = (
         _folded(signals, state, target)
-        .withColumn("closed_before", F.coalesce(F.lag("closed").over(before), F.lit(0)))
-        .withColumn("seen_before", F.coalesce(F.lag("seen").over(before), F.lit(0)))
         .where(F.col("seed").isNull())
         .withColumn("opened_before", opened_before)
     )

@@ -203,7 +203,8 @@ def now():
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submissions with their JSON bodies; the number ``k`` chooses the fault of the body."""
-    rows = load(spark, sf_dir, "submissions")
+    # The given table is one small file; building the JSON texts deserves more than one task.
+    rows = load(spark, sf_dir, "submissions").repartition("ingest_seq")
     k = F.col("k")
 
     def faulty(number: int, bad, good):
