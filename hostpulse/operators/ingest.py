@@ -15,7 +15,7 @@ from hostpulse.functions import (
     utf16_length,
 )
 from hostpulse.operators.anchors import mark_anchors
-from hostpulse.operators.lookup import lookup
+from hostpulse.operators.lookup import broadcast_if_small, lookup
 
 # The refusal reasons callers of the contract see, in the order they are tested.
 TOO_LARGE = "too_large"
@@ -324,7 +324,9 @@ def dedupe_events(events: DataFrame, *, stored: DataFrame | None = None) -> Data
     """
     firsts = first_arrivals(events)
     if stored is not None:
-        known = stored.where(F.col("event_id").isNotNull()).select("event_id").distinct()
+        # The history is only reduced to the ids asked for; a small batch never shuffles it.
+        asked = broadcast_if_small(firsts.select("event_id"))
+        known = stored.select("event_id").join(asked, "event_id", "left_semi").distinct()
         firsts = firsts.join(known, "event_id", "left_anti")
     flags = firsts.select("ingest_seq", F.lit(True).alias("first"))
     is_new = F.col("first").isNotNull() | F.col("event_id").isNull()

@@ -9,6 +9,14 @@ MAX_BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
+def broadcast_if_small(side: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``side`` marked for broadcast when it has at most ``max_rows`` rows, else unchanged.
+
+    The check stops counting just above the bound.
+    """
+    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+
+
 def lookup(
     rows: DataFrame,
     side: DataFrame,
@@ -20,9 +28,9 @@ def lookup(
 ) -> DataFrame:
     """``rows`` left-joined with ``side`` (at most one row per key).
 
-    A side of at most ``max_rows`` rows is broadcast; the check stops counting just above that.  A
-    larger side is joined by shuffle, with the rows of each key spread over ``salts`` partitions by
-    the ``spread`` column so that a hot key does not end in one task.
+    A side of at most ``max_rows`` rows is broadcast.  A larger side is joined by shuffle, with the
+    rows of each key spread over ``salts`` partitions by the ``spread`` column so that a hot key
+    does not end in one task.
     """
     if side.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(side), key, "left")

@@ -4,6 +4,7 @@ from hostpulse.sources.raw import read_raw_events, replay_queue
 from hostpulse.sources.tables import (
     append_deliveries,
     append_telemetry,
+    drop_stages,
     materialize,
     prune_table,
     read_deliveries,
@@ -14,6 +15,7 @@ from hostpulse.sources.tables import (
 __all__ = [
     "append_deliveries",
     "append_telemetry",
+    "drop_stages",
     "materialize",
     "prune_table",
     "read_deliveries",

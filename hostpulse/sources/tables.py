@@ -14,18 +14,45 @@ from hostpulse.operators.maintain import prune_history
 from hostpulse.session import shared_dir
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/hostpulse-stages/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to a table in the cluster's shared checkpoint folder and read it back.
 
     Cuts the lineage at a table boundary: later stages read only the columns they need, and a lost
-    executor costs a re-read instead of a recomputation of everything before.
+    executor costs a re-read instead of a recomputation of everything before.  ``drop_stages``
+    removes the stages of this application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hostpulse-stages/{name}-{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Remove the stage tables this application wrote, once no DataFrame needs them."""
+    delete_folder(spark, _stages(spark))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, sorted; empty when the folder does not exist."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    return sorted(entry.getPath().getName() for entry in files.listStatus(folder))
+
+
 def append_telemetry(events: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append accepted, new events, one folder per event date.
 
@@ -97,10 +124,7 @@ def prune_table(
     rewrite = materialize(kept.where(F.col("event_date") == boundary), "retention")
     dates = table.where(F.col("event_date") <= boundary).select("event_date").distinct()
     stale = [row["event_date"] for row in dates.collect()]
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for date in stale:
-        files.delete(jvm.org.apache.hadoop.fs.Path(folder, f"event_date={date}"), True)
+        delete_folder(spark, f"{path}/event_date={date}")
     rewrite.write.mode("append").partitionBy("event_date").parquet(path)
     return count
