@@ -139,19 +139,42 @@ def level_counts(tel: DataFrame, *, host_id: str | None = None) -> DataFrame:
 
 
 def _rollup(tel: DataFrame) -> DataFrame:
-    """One aggregate per host; the newest row's values, even where they are null."""
-    newest = F.struct("event_timestamp", "ingest_seq")
-    return (
+    """Per host the totals and the newest row's values, even where they are null.
+
+    The texts are grouping keys of a first step, so that all its buffers have a fixed width and it
+    runs as a hash aggregate over the data; the second step meets a few rows per host.  Newest is by
+    (event time, arrival), packed into one wide number for the same reason.
+    """
+    # Ten to the power of 19 exceeds every arrival number.
+    place = F.expr(
+        "cast(cast(unix_micros(cast(event_timestamp as timestamp)) as decimal(18, 0)) "
+        "* 10000000000000000000BD + ingest_seq as decimal(38, 0))"
+    )
+    texts = ("hostname", "agent_version", "disk_path")
+    per_text = (
         tel.where(F.col("host_id").isNotNull())
-        .groupBy("host_id")
+        .select(
+            "host_id", *texts, "event_timestamp", "queue_depth", "disk_usage", place.alias("place")
+        )
+        .groupBy("host_id", *texts)
         .agg(
-            F.max("hostname").alias("hostname"),
             F.count(F.lit(1)).alias("event_count"),
             F.min("event_timestamp").alias("first_seen"),
             F.max("event_timestamp").alias("last_seen"),
-            F.max_by(
-                F.struct("agent_version", "queue_depth", "disk_usage", "disk_path"), newest
-            ).alias("newest"),
+            F.max("place").alias("newest_place"),
+            F.max_by("queue_depth", "place").alias("queue_depth"),
+            F.max_by("disk_usage", "place").alias("disk_usage"),
+        )
+    )
+    readings = ("agent_version", "queue_depth", "disk_usage", "disk_path")
+    return (
+        per_text.groupBy("host_id")
+        .agg(
+            F.max("hostname").alias("hostname"),
+            F.sum("event_count").alias("event_count"),
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            F.max_by(F.struct(*readings), "newest_place").alias("newest"),
         )
         .select(
             "host_id",
@@ -159,10 +182,7 @@ def _rollup(tel: DataFrame) -> DataFrame:
             "event_count",
             "first_seen",
             "last_seen",
-            "newest.agent_version",
-            "newest.queue_depth",
-            "newest.disk_usage",
-            "newest.disk_path",
+            *[f"newest.{name}" for name in readings],
         )
     )
 
