@@ -224,10 +224,13 @@ def forward_duration(attempts: DataFrame) -> DataFrame:
     )
 
 
-def agent_counters(captures: DataFrame, outcomes: DataFrame, queue: DataFrame) -> DataFrame:
+def agent_counters(
+    captures: DataFrame, outcomes: DataFrame, queue: DataFrame, replays: DataFrame | None = None
+) -> DataFrame:
     """The agent's counters in one table (counter, label, n).
 
-    Captures by level, forwards by outcome, queue writes, drops and rejections.
+    Captures by level, forwards by outcome, queue writes and drops (``queue_depth_timeline``), and
+    queued events that were refused for good when they were replayed (``replays`` with outcome).
     """
     parts = [
         captures.select(F.lit("captured").alias("counter"), F.col("level").alias("label")),
@@ -237,7 +240,15 @@ def agent_counters(captures: DataFrame, outcomes: DataFrame, queue: DataFrame) -
             F.lit("").alias("label"),
         ),
     ]
-    log = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if replays is not None:
+        parts.append(
+            replays.where(F.col("outcome") == "rejected").select(
+                F.lit("queue_rejected").alias("counter"), F.lit("").alias("label")
+            )
+        )
+    log = parts[0]
+    for part in parts[1:]:
+        log = log.unionByName(part)
     return log.groupBy("counter", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -92,11 +92,11 @@ def _marker(key: str, time: str, gap: int, entry: int):
     return mark
 
 
-def _steps(key: str, time: str, gap: int, entry: int):
+def _steps(key: str, time: str, gap: int):
     """The chunk's effect: for entry thresholds up to ``upto`` the last anchor is ``last``."""
 
     def steps(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values([time, "forced"], ascending=[True, False], kind="stable")
+        ordered = group.sort_values(time)
         times = ordered[time].to_numpy()
         forced = np.flatnonzero(ordered["forced"].to_numpy())
         n = len(times)
@@ -133,7 +133,11 @@ def _steps(key: str, time: str, gap: int, entry: int):
 
 
 def _resolver(key: str, time: str, gap: int, entry: int):
-    """Compose a key's chunk steps in order; emit the anchor with which each chunk is entered."""
+    """Compose a key's chunk steps in order; emit the anchor with which each chunk is entered.
+
+    A key's steps are few against its rows: a chunk has at most one per time that can be its first
+    anchor, and neighbours that leave the chunk by the same anchor are one step.
+    """
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
         threshold, anchor = entry, None
@@ -181,8 +185,10 @@ def mark_anchors(
     every, only_hot = split_hot(flagged, key, time, target=target, max_span=max_span)
     key_type = rows.schema[key].dataType.simpleString()
 
-    steps = only_hot.select(key, "chunk", time, "forced").groupBy(key, "chunk").applyInPandas(
-        _steps(key, time, gap, entry), f"{key} {key_type}, chunk bigint, upto bigint, last bigint"
+    # Rows at one time act as one, so the groups hold distinct times only.
+    times = only_hot.groupBy(key, "chunk", time).agg(F.max("forced").alias("forced"))
+    steps = times.groupBy(key, "chunk").applyInPandas(
+        _steps(key, time, gap), f"{key} {key_type}, chunk bigint, upto bigint, last bigint"
     )
     seeds = steps.groupBy(key).applyInPandas(
         _resolver(key, time, gap, entry), f"{key} {key_type}, chunk bigint, {time} bigint"

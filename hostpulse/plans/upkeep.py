@@ -305,15 +305,17 @@ SELECT counter, label, count(*) AS n FROM (
   SELECT 'captured' AS counter, level AS label FROM telemetry
   UNION ALL SELECT 'forwarded', {_OUTCOME} FROM forwards
   UNION ALL SELECT CASE WHEN place > 0 THEN 'queue_dropped' ELSE 'queue_written' END, ''
-    FROM (SELECT 0 AS place FROM queue_events WHERE change > 0) AS written) AS counters
+    FROM (SELECT 0 AS place FROM queue_events WHERE change > 0) AS written
+  UNION ALL SELECT 'queue_rejected', '' FROM forwards WHERE queue_full AND {_OUTCOME} = 'rejected'
+  ) AS counters
 GROUP BY counter, label"""
     ),
 )
 def _(spark, sf):
     queue = A.queue_depth_timeline(_load(spark, sf, "queue_events"), capacity=1_000_000)
-    return A.agent_counters(
-        _load(spark, sf, "telemetry"), A.forward_outcomes(_load(spark, sf, "forwards")), queue
-    )
+    outcomes = A.forward_outcomes(_load(spark, sf, "forwards"))
+    replays = outcomes.where("queue_full")
+    return A.agent_counters(_load(spark, sf, "telemetry"), outcomes, queue, replays)
 
 
 _LOST = """

@@ -38,6 +38,10 @@ class Fleet:
 
     ``rules`` is read again in every batch, so a rule change counts from the next event.  With
     ``credentials`` submissions must authorise and are attributed to the credential's host.
+
+    A batch looks for its event ids among all stored ids.  Where copies of an event always carry the
+    same event time (agents resend the stored payload), ``same_time_copies`` limits that to the
+    stored days the batch mentions.
     """
 
     root: str
@@ -46,6 +50,7 @@ class Fleet:
     shared_hash: str | None = None
     window: int = S.WINDOW
     defaults: dict[str, float] | None = None
+    same_time_copies: bool = False
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -148,6 +153,9 @@ def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
     if stored is not None:
         # A failed try of this very batch may have left its folder.
         stored = stored.where(F.col("version") < version)
+        if fleet.same_time_copies:
+            days = events.select(F.to_date("event_timestamp").alias("day")).distinct().collect()
+            stored = stored.where(F.col("event_date").isin([row["day"] for row in days]))
     flagged = I.dedupe_events(events.drop("claimed_host_id"), stored=stored)
     deliveries = _write(flagged, f"{work}/deliveries", version)
 

@@ -53,8 +53,10 @@ def _batch(spark, path):
     return deliveries, lifecycle.alert_transitions(log)
 
 
-def test_stream_equals_batch_across_a_restart(spark, tmp_path):
-    source, fleet = tmp_path / "in", Fleet(str(tmp_path / "fleet"))
+@pytest.mark.parametrize("same_time", [False, True])
+def test_stream_equals_batch_across_a_restart(spark, tmp_path, same_time):
+    source = tmp_path / "in"
+    fleet = Fleet(str(tmp_path / "fleet"), same_time_copies=same_time)
     source.mkdir()
     for number in range(3):
         _drop(source, f"part-{number}.json", _lines(number, 25, number * 25))
