@@ -37,8 +37,16 @@ SIGNAL_COLUMNS = (
 # The alert key prefixes.
 CPU_KEY, RAM_KEY, DISK_KEY, SILENT_KEY = "cpu-high", "ram-high", "disk-high", "agent-silent"
 
-# What a window keeps of an event.
-MEMBER = ("event_timestamp", "level", "message", "cpu_usage", "ram_usage", "disk_usage", "disk_path")
+# What a window keeps of an event; other texts than error messages are not shuffled.
+MEMBER = ("event_timestamp", "error", "cpu_usage", "ram_usage", "disk_usage", "disk_path")
+
+
+def _members(deliveries: DataFrame) -> DataFrame:
+    """Deliveries reduced to the window columns."""
+    error = F.when(F.col("level").isin(*S.ERROR_LEVELS), F.col("message"))
+    return deliveries.withColumn("error", error).select(
+        "host_id", "ingest_seq", "is_new", *MEMBER
+    )
 
 
 def window_tails(new_rows: DataFrame, keys: list[str], *, size: int) -> DataFrame:
@@ -111,13 +119,8 @@ def evaluations(
     messages.  ``tails`` is the window state left by earlier batches.  All frames share one exchange
     on (host_id, chunk); a hot host is split and its chunks start from seed rows.
     """
-    rows = deliveries.select(
-        "host_id",
-        "ingest_seq",
-        "is_new",
-        *MEMBER,
-        F.lit(None).cast("long").alias("offset"),
-        F.lit(False).alias("seed"),
+    rows = _members(deliveries).select(
+        "*", F.lit(None).cast("long").alias("offset"), F.lit(False).alias("seed")
     )
     if tails is not None:
         rows = rows.unionByName(
@@ -145,7 +148,6 @@ def evaluations(
     def if_new(column: str | Column) -> Column:
         return F.when(F.col("is_new"), column if isinstance(column, Column) else F.col(column))
 
-    error = F.col("is_new") & F.col("level").isin(*S.ERROR_LEVELS)
     reading = F.struct("event_timestamp", "disk_usage", "disk_path")
     counted = F.col("is_new").cast("long")
     return (
@@ -165,7 +167,7 @@ def evaluations(
             F.avg(if_new("cpu_usage")).over(last_events).alias("avg_cpu"),
             F.avg(if_new("ram_usage")).over(last_events).alias("avg_ram"),
             F.sum(counted).over(last_events).alias("size"),
-            F.collect_list(F.when(error, F.col("message"))).over(last_events).alias("errors"),
+            F.collect_list(if_new("error")).over(last_events).alias("errors"),
             F.max(if_new(reading)).over(newest).alias("reading"),
         )
         .where(~F.col("seed"))
@@ -393,7 +395,7 @@ def window_state(
     deliveries: DataFrame, *, window: int = S.WINDOW, tails: DataFrame | None = None
 ) -> DataFrame:
     """The state (host_id, seen, tail) after a batch: what ``evaluations(tails=...)`` starts from."""
-    fresh = deliveries.where("is_new").select("host_id", "ingest_seq", *MEMBER)
+    fresh = _members(deliveries).where("is_new").drop("is_new")
     counts = fresh.groupBy("host_id").agg(F.count(F.lit(1)).alias("seen"))
     if tails is not None:
         fresh = fresh.unionByName(tails.select("host_id", F.inline("tail")))

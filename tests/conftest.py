@@ -15,7 +15,9 @@ START = datetime(2026, 1, 1)
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, name="hostpulse-tests")
+    session = local_session(
+        8, name="hostpulse-tests", **{"spark.sql.shuffle.partitions": "4"}
+    )
     yield session
     session.stop()
 

@@ -198,3 +198,20 @@ def test_raw_columns(spark, tmp_path, streaming):
     if not streaming:
         assert [r["value"] for r in raw.orderBy("ingest_seq").collect()] == ["1", "2", "3", "4"]
         assert raw.select("ingest_seq").distinct().count() == 4
+
+
+def test_numbers_of_a_split_file_follow_its_lines(spark, tmp_path):
+    wide = "x" * 40
+    (tmp_path / "big.json").write_text("".join(f"{i:07d}{wide}\n" for i in range(250_000)))
+    (tmp_path / "a.json").write_text("-000001\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(3 << 20))
+    try:
+        raw = read_raw_events(spark, str(tmp_path))
+        assert raw.rdd.getNumPartitions() > 1
+        rows = raw.orderBy("ingest_seq").selectExpr("int(substr(value, 1, 7)) as n").toPandas()["n"]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        with pytest.raises(ValueError):
+            read_raw_events(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows.tolist() == list(range(-1, 250_000))
