@@ -86,7 +86,7 @@ def retry_outcome(attempts: DataFrame, *, max_attempts: int = 3) -> DataFrame:
 
 
 def queue_depth_timeline(
-    queue_events: DataFrame, *, capacity: int = 1000, target: int = TARGET_ROWS
+    queue_events: DataFrame, *, capacity: int = 1000, target: int | None = TARGET_ROWS
 ) -> DataFrame:
     """Queue depth after every event and whether an enqueue was dropped for lack of room.
 
@@ -102,19 +102,22 @@ def queue_depth_timeline(
     through = order.rowsBetween(Window.unboundedPreceding, 0)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
 
-    per_chunk = (
-        only_hot.withColumn("total", F.sum("change").over(through))
-        .groupBy(*chunk)
-        .agg(F.sum("change").alias("sum"), F.max("total").alias("top"))
-    )
-    before = earlier_chunks("host_id")
-    seeds = (
-        per_chunk.withColumn("base", F.sum("sum").over(before))
-        .withColumn("peak", F.max(F.coalesce("base", F.lit(0)) + F.col("top")).over(before))
-        .where(F.col("base").isNotNull())
-        .select(*chunk, "base", "peak")
-    )
-    seeded = every.unionByName(seeds, allowMissingColumns=True)
+    carried = {"base": F.lit(None).cast("long"), "peak": F.lit(None).cast("long")}
+    seeded = every.withColumns(carried)
+    if only_hot is not None:
+        per_chunk = (
+            only_hot.withColumn("total", F.sum("change").over(through))
+            .groupBy(*chunk)
+            .agg(F.sum("change").alias("sum"), F.max("total").alias("top"))
+        )
+        before = earlier_chunks("host_id")
+        seeds = (
+            per_chunk.withColumn("base", F.sum("sum").over(before))
+            .withColumn("peak", F.max(F.coalesce("base", F.lit(0)) + F.col("top")).over(before))
+            .where(F.col("base").isNotNull())
+            .select(*chunk, "base", "peak")
+        )
+        seeded = seeded.unionByName(seeds, allowMissingColumns=True)
     step = F.coalesce("base", F.col("change").cast("long"))
     reached = F.greatest(F.coalesce("peak", "total"), "total")
 
@@ -138,7 +141,7 @@ def delivery_stalls(
     ticks: DataFrame,
     *,
     stall_minutes: int = 5,
-    target: int = TARGET_ROWS,
+    target: int | None = TARGET_ROWS,
 ) -> DataFrame:
     """One row per change of delivery health: ``delivery_stalled`` or ``delivery_recovered``.
 
@@ -164,22 +167,24 @@ def delivery_stalls(
     )
     every, only_hot = split_hot(rows, "host_id", "at_us", target=target, max_span=None)
     chunk = ["host_id", "chunk"]
-    order = F.struct("at_us", F.col("tick"), F.col("failed"))
-    per_chunk = only_hot.groupBy(*chunk).agg(
-        F.max_by("failed", F.when(F.col("failed").isNotNull(), order)).alias("failed"),
-        F.max("ok_at").alias("ok_at"),
-        F.min("at_us").alias("start"),
-    )
-    before = earlier_chunks("host_id")
-    seeds = per_chunk.select(
-        *chunk,
-        F.last("failed", ignorenulls=True).over(before).alias("failed"),
-        F.max("ok_at").over(before).alias("ok_at"),
-        F.min("start").over(before).alias("start"),
-    ).where(F.col("start").isNotNull())
-    seeded = every.withColumn("start", F.col("at_us")).unionByName(
-        seeds.withColumn("tick", F.lit(False)), allowMissingColumns=True
-    )
+    seeded = every.withColumn("start", F.col("at_us"))
+    if only_hot is not None:
+        order = F.struct("at_us", F.col("tick"), F.col("failed"))
+        per_chunk = only_hot.groupBy(*chunk).agg(
+            F.max_by("failed", F.when(F.col("failed").isNotNull(), order)).alias("failed"),
+            F.max("ok_at").alias("ok_at"),
+            F.min("at_us").alias("start"),
+        )
+        before = earlier_chunks("host_id")
+        seeds = per_chunk.select(
+            *chunk,
+            F.last("failed", ignorenulls=True).over(before).alias("failed"),
+            F.max("ok_at").over(before).alias("ok_at"),
+            F.min("start").over(before).alias("start"),
+        ).where(F.col("start").isNotNull())
+        seeded = seeded.unionByName(
+            seeds.withColumn("tick", F.lit(False)), allowMissingColumns=True
+        )
     through = (
         Window.partitionBy(*chunk)
         .orderBy(F.asc_nulls_first("at_us"), "tick", "failed")

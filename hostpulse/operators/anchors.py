@@ -171,7 +171,7 @@ def mark_anchors(
     gap: int,
     entry: int = ALWAYS,
     forced: str | None = None,
-    target: int = TARGET_ROWS,
+    target: int | None = TARGET_ROWS,
     max_span: int | None = None,
 ) -> DataFrame:
     """Add ``anchor`` (time of the newest anchor up to the row) and ``is_anchor``.
@@ -185,18 +185,20 @@ def mark_anchors(
     every, only_hot = split_hot(flagged, key, time, target=target, max_span=max_span)
     key_type = rows.schema[key].dataType.simpleString()
 
-    # Rows at one time act as one, so the groups hold distinct times only.
-    times = only_hot.groupBy(key, "chunk", time).agg(F.max("forced").alias("forced"))
-    steps = times.groupBy(key, "chunk").applyInPandas(
-        _steps(key, time, gap), f"{key} {key_type}, chunk bigint, upto bigint, last bigint"
-    )
-    seeds = steps.groupBy(key).applyInPandas(
-        _resolver(key, time, gap, entry), f"{key} {key_type}, chunk bigint, {time} bigint"
-    )
-    seeded = every.withColumn("seed", F.lit(False)).unionByName(
-        seeds.withColumn("seed", F.lit(True)).withColumn("forced", F.lit(False)),
-        allowMissingColumns=True,
-    )
+    seeded = every.withColumn("seed", F.lit(False))
+    if only_hot is not None:
+        # Rows at one time act as one, so the groups hold distinct times only.
+        times = only_hot.groupBy(key, "chunk", time).agg(F.max("forced").alias("forced"))
+        steps = times.groupBy(key, "chunk").applyInPandas(
+            _steps(key, time, gap), f"{key} {key_type}, chunk bigint, upto bigint, last bigint"
+        )
+        seeds = steps.groupBy(key).applyInPandas(
+            _resolver(key, time, gap, entry), f"{key} {key_type}, chunk bigint, {time} bigint"
+        )
+        seeded = seeded.unionByName(
+            seeds.withColumn("seed", F.lit(True)).withColumn("forced", F.lit(False)),
+            allowMissingColumns=True,
+        )
     ordered = seeded.repartition(key, "chunk").sortWithinPartitions(
         key,
         "chunk",

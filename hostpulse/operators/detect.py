@@ -110,7 +110,7 @@ def evaluations(
     *,
     window: int = S.WINDOW,
     tails: DataFrame | None = None,
-    target: int = TARGET_ROWS,
+    target: int | None = TARGET_ROWS,
 ) -> DataFrame:
     """One row per accepted delivery whose host has a window: position, means, newest reading.
 
@@ -127,17 +127,20 @@ def evaluations(
             _stored_seeds(tails).select("*", F.lit(True).alias("is_new"), F.lit(True).alias("seed"))
         )
     every, only_hot = split_hot(rows, "host_id", "ingest_seq", target=target)
-    seeds = _window_seeds(only_hot, window)
-    if tails is not None:
-        # A stored tail already counts into its chunk; only its own offset comes on top.
-        stored = only_hot.groupBy("host_id").agg(F.max("offset").alias("base"))
-        seeds = (
-            seeds.join(stored, "host_id", "left")
-            .withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
-            .drop("base")
+    seeded = every
+    if only_hot is not None:
+        seeds = _window_seeds(only_hot, window)
+        if tails is not None:
+            # A stored tail already counts into its chunk; only its own offset comes on top.
+            stored = only_hot.groupBy("host_id").agg(F.max("offset").alias("base"))
+            seeds = (
+                seeds.join(stored, "host_id", "left")
+                .withColumn("offset", F.col("offset") + F.coalesce("base", F.lit(0)))
+                .drop("base")
+            )
+        seeded = every.unionByName(
+            seeds.select("*", F.lit(True).alias("is_new"), F.lit(True).alias("seed"))
         )
-    seeds = seeds.withColumn("is_new", F.lit(True)).withColumn("seed", F.lit(True))
-    seeded = every.unionByName(seeds)
 
     # Two window steps, each with one sort: positions by arrival, then the frames by position.
     # Positions and not rows bound the frames, because repeats between new events do not count.
@@ -188,7 +191,7 @@ def evaluations(
 
 
 def host_windows(
-    new_events: DataFrame, *, window: int = S.WINDOW, target: int = TARGET_ROWS
+    new_events: DataFrame, *, window: int = S.WINDOW, target: int | None = TARGET_ROWS
 ) -> DataFrame:
     """At each arrival the means and size of the host's last events; short windows use what exists."""
     return (

@@ -47,13 +47,17 @@ def split_hot(
     key: str,
     order: str,
     *,
-    target: int = TARGET_ROWS,
+    target: int | None = TARGET_ROWS,
     max_span: int | None = MAX_SPAN,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Add ``chunk``; also return the rows of hot keys alone, for building seeds.
 
-    The broadcast side has at most rows/target entries (50,000 for 10^12 rows).
+    The broadcast side has at most rows/target entries (50,000 for 10^12 rows).  A ``target`` of
+    None is for callers that know all rows together to be few, such as a counted micro-batch:
+    nothing is split and there are no hot rows.
     """
+    if target is None:
+        return rows.withColumn("chunk", F.lit(0).cast("long")), None
     hot = F.broadcast(hot_keys(rows, key, order, target=target, max_span=max_span))
     chunk = F.expr(f"cast({order} div span as bigint)")
     every = rows.join(hot, key, "left").withColumn(

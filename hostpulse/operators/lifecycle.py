@@ -72,33 +72,37 @@ def _lifecycle_seeds(only_hot: DataFrame) -> DataFrame:
     )
 
 
-def _stored_seeds(state: DataFrame) -> DataFrame:
-    """Seeds from the alert state of earlier batches (``alert_state``)."""
-    return state.select(
-        "alert_key",
-        F.lit(0).cast("long").alias("chunk"),
-        F.struct("opened", "closed", "seen", "first", "last").alias("seed"),
-    )
+_SEED = "struct<opened:bigint,closed:bigint,seen:bigint,first:{first},last:{last}>"
+
+
+def _no_seed(signals: DataFrame) -> Column:
+    kinds = {name: signals.schema[name].dataType.simpleString() for name in signals.columns}
+    first = f"struct<at:{kinds['at']},alert_type:string,host_id:string>"
+    last = f"struct<at:{kinds['at']},message:string>"
+    return F.lit(None).cast(_SEED.format(first=first, last=last))
 
 
-def _folded(
-    signals: DataFrame, state: DataFrame | None, target: int
+def fold_signals(
+    signals: DataFrame, *, state: DataFrame | None = None, target: int | None = TARGET_ROWS
 ) -> DataFrame:
     """Signals with the running numbers through and before each row, seed rows still inside.
 
-    Two window steps over one exchange and one sort.
+    Two window steps over one exchange and one sort.  ``transitions_of`` and ``state_of`` read the
+    result; a job that needs both writes it once.
     """
+    every, only_hot = split_hot(signals, "alert_key", "ingest_seq", target=target)
+    seeds = None if only_hot is None else _lifecycle_seeds(only_hot)
     if state is not None:
-        # The stored state goes into every chunk as a seed: chunk seeds only add this batch.
-        every, only_hot = split_hot(signals, "alert_key", "ingest_seq", target=target)
-        stored = _stored_seeds(state)
+        # The stored state is the seed of every chunk; chunk seeds add this batch to it.
         chunks = every.select("alert_key", "chunk").distinct()
-        base = chunks.join(stored.drop("chunk"), "alert_key")
-        seeds = _combine(base, _lifecycle_seeds(only_hot))
-    else:
-        every, only_hot = split_hot(signals, "alert_key", "ingest_seq", target=target)
-        seeds = _lifecycle_seeds(only_hot)
-    seeded = every.unionByName(seeds, allowMissingColumns=True)
+        stored = state.select(
+            "alert_key", F.struct("opened", "closed", "seen", "first", "last").alias("seed")
+        )
+        base = chunks.join(stored, "alert_key")
+        seeds = base if seeds is None else _combine(base, seeds)
+    seeded = every.withColumn("seed", _no_seed(signals))
+    if seeds is not None:
+        seeded = seeded.unionByName(seeds, allowMissingColumns=True)
 
     order = Window.partitionBy("alert_key", "chunk").orderBy(
         F.asc_nulls_first("ingest_seq"), "sub_seq"
@@ -152,22 +156,11 @@ def _combine(base: DataFrame, chunk_seeds: DataFrame) -> DataFrame:
     )
 
 
-def alert_transitions(
-    signals: DataFrame, *, state: DataFrame | None = None, target: int = TARGET_ROWS
-) -> DataFrame:
-    """What each signal changed; signals that change nothing give no row.
-
-    ``occurrence_count`` counts breaches over the key's whole life, ``first_seen``, ``alert_type``
-    and ``host_id`` stay those of the first breach, an ACK moves nothing but the status, and a
-    breach keeps an acknowledgement.  ``state`` is the alert state left by earlier batches.
-    """
+def transitions_of(folded: DataFrame) -> DataFrame:
+    """What each signal changed; signals that change nothing give no row."""
     breach, close, ack = F.expr(_IS_BREACH), F.expr(_IS_CLOSE), F.expr(_IS_ACK)
-    opened_before = F.col("opened") - F.when(breach, 1).otherwise(0)
-    folded = (
-        _folded(signals, state, target)
-        .where(F.col("seed").isNull())
-        .withColumn("opened_before", opened_before)
-    )
+    before = F.col("opened") - F.when(breach, 1).otherwise(0)
+    rows = folded.where(F.col("seed").isNull()).withColumn("opened_before", before)
     active = F.col("opened_before") > F.col("closed_before")
     acked = F.col("seen_before") > F.col("closed_before")
     transition = (
@@ -187,7 +180,7 @@ def alert_transitions(
         F.col("at")
     )
     return (
-        folded.withColumn("transition", transition)
+        rows.withColumn("transition", transition)
         .where(F.col("transition").isNotNull())
         .select(
             "alert_key",
@@ -206,14 +199,23 @@ def alert_transitions(
     )
 
 
-def alert_state(
-    signals: DataFrame, *, state: DataFrame | None = None, target: int = TARGET_ROWS
+def alert_transitions(
+    signals: DataFrame, *, state: DataFrame | None = None, target: int | None = TARGET_ROWS
 ) -> DataFrame:
-    """Per alert key the running numbers after a batch: what ``alert_transitions(state=...)`` needs."""
-    numbers = _folded(signals, state, target)
+    """What each signal changed.
+
+    ``occurrence_count`` counts breaches over the key's whole life, ``first_seen``, ``alert_type``
+    and ``host_id`` stay those of the first breach, an ACK moves nothing but the status, and a
+    breach keeps an acknowledgement.  ``state`` is the alert state left by earlier batches.
+    """
+    return transitions_of(fold_signals(signals, state=state, target=target))
+
+
+def state_of(folded: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Per alert key the running numbers after a fold that started from ``state``."""
     kept = ("opened", "closed", "seen", "first", "last")
     place = F.struct("opened", "chunk", F.coalesce("ingest_seq", F.lit(-1)), "sub_seq")
-    latest = numbers.groupBy("alert_key").agg(
+    latest = folded.groupBy("alert_key").agg(
         F.max("opened").alias("opened"),
         F.max("closed").alias("closed"),
         F.max("seen").alias("seen"),
@@ -226,6 +228,13 @@ def alert_state(
     return latest.where(F.col("opened") > 0).unionByName(untouched)
 
 
+def alert_state(
+    signals: DataFrame, *, state: DataFrame | None = None, target: int | None = TARGET_ROWS
+) -> DataFrame:
+    """Per alert key the running numbers after a batch: what ``alert_transitions(state=...)`` needs."""
+    return state_of(fold_signals(signals, state=state, target=target), state)
+
+
 def current_alerts(transitions: DataFrame) -> DataFrame:
     """The newest state of every alert; one aggregate, copies collapse before the shuffle."""
     state = F.struct(*[c for c in ALERT_COLUMNS if c != "alert_key"])

@@ -23,6 +23,7 @@ from hostpulse import schemas as S
 from hostpulse.operators import detect as D
 from hostpulse.operators import ingest as I
 from hostpulse.operators import lifecycle as L
+from hostpulse.operators.hot_keys import TARGET_ROWS
 from hostpulse.operators.queries import host_rollup
 from hostpulse.sources.raw import number_batch
 from hostpulse.sources.tables import delete_folder, subfolders, write_rejected
@@ -125,13 +126,20 @@ def _accepted(fleet: Fleet, spark: SparkSession, raw: DataFrame) -> DataFrame:
     return checked
 
 
+def _split_target(rows: DataFrame) -> int | None:
+    """No key of a table with few rows can be hot; the count comes from the file footers."""
+    return TARGET_ROWS if rows.count() > TARGET_ROWS else None
+
+
 def _judge(
     fleet: Fleet, spark: SparkSession, log: DataFrame, version: str, state: DataFrame | None
 ) -> None:
     """Fold a signal log into transitions and the next alert state."""
-    transitions = L.alert_transitions(log, state=state)
-    _write(transitions, fleet.path("transitions"), version)
-    _write(L.alert_state(log, state=state), fleet.path("state/alerts"), version)
+    folded = L.fold_signals(log, state=state, target=_split_target(log))
+    folded = _write(folded, fleet.path("work/folded"), version)
+    _write(L.transitions_of(folded), fleet.path("transitions"), version)
+    _write(L.state_of(folded, state), fleet.path("state/alerts"), version)
+    delete_folder(spark, f"{fleet.path('work/folded')}/version={version}")
 
 
 def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
@@ -171,7 +179,9 @@ def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
 
     tails = _state_before(spark, fleet.path("state/windows"), version)
     alerts = _state_before(spark, fleet.path("state/alerts"), version)
-    evals = D.evaluations(deliveries, window=fleet.window, tails=tails)
+    evals = D.evaluations(
+        deliveries, window=fleet.window, tails=tails, target=_split_target(deliveries)
+    )
     log = D.delivery_signals(evals, fleet.read_rules(spark), defaults=fleet.defaults)
     _judge(fleet, spark, _write(log, f"{work}/signals", version), version, alerts)
     _write(

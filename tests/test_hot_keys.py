@@ -14,7 +14,7 @@ from hostpulse.operators.anchors import NEVER, mark_anchors
 from hostpulse.operators.hot_keys import split_hot
 from hostpulse.operators.ingest import dedupe_events, rate_limit_decisions
 
-TARGETS = [1_000_000, 5]
+TARGETS = [None, 1_000_000, 5]
 
 
 def _random_deliveries(seed: int, n: int = 160):
