@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from hostpulse.functions import micros
 from hostpulse.operators.anchors import NEVER, mark_anchors
 
-# Event types and envelope constants of the notification contract.
+# Fixed value: the event type of a reminder; the others are "alert." and the transition.
 REMINDER = "alert.reminder"
-SCHEMA_VERSION = "eventwatch.notification.v1"
-SOURCE_SERVICE = "eventwatch-analytics"
-SOURCE_CHANNEL = "webhook"
 
 
 def reminder_due(
@@ -78,8 +75,17 @@ def notification_policy(
     return changes.unionByName(reminders).withColumn("decision", decision)
 
 
-def notification_outbox(policy: DataFrame) -> DataFrame:
-    """The versioned JSON envelope of every notification to send."""
+def notification_outbox(
+    policy: DataFrame,
+    *,
+    schema_version: str = "notification.v1",
+    service: str = "analytics",
+    channel: str = "webhook",
+) -> DataFrame:
+    """The versioned JSON envelope of every notification to send.
+
+    ``schema_version``, ``service`` and ``channel`` are the constants the receivers were told.
+    """
     # Fixed value: instants are ISO-8601 in UTC with no, three or six fraction digits.
     def instant(name: str):
         whole = F.date_format(F.col(name).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
@@ -92,12 +98,10 @@ def notification_outbox(policy: DataFrame) -> DataFrame:
         return F.concat(whole, digits, F.lit("Z"))
 
     envelope = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.lit(schema_version).alias("schema_version"),
         "event_type",
         instant("at").alias("occurred_at"),
-        F.struct(
-            F.lit(SOURCE_SERVICE).alias("service"), F.lit(SOURCE_CHANNEL).alias("channel")
-        ).alias("source"),
+        F.struct(F.lit(service).alias("service"), F.lit(channel).alias("channel")).alias("source"),
         F.struct(
             "alert_key",
             "alert_type",

@@ -14,6 +14,7 @@ from hostpulse.plans.lifecycle import transitions_table
 from hostpulse.plans.registry import query
 
 COOLDOWN_S = 86_400
+COOLDOWN_US = f"CAST({COOLDOWN_S * 1_000_000} AS BIGINT)"
 QUEUE_CAPACITY = 20
 
 
@@ -34,8 +35,8 @@ walk AS (SELECT alert_key, rn, late, ingest_seq, sub_seq, false AS due,
     CASE WHEN late = 0 THEN us END AS recent FROM ordered WHERE rn = 1
   UNION ALL
   SELECT o.alert_key, o.rn, o.late, o.ingest_seq, o.sub_seq,
-    o.late = 1 AND coalesce(w.recent + {COOLDOWN_S} * CAST(1000000 AS BIGINT) <= o.us, false),
-    CASE WHEN o.late = 0 OR w.recent + {COOLDOWN_S} * CAST(1000000 AS BIGINT) <= o.us THEN o.us ELSE w.recent END
+    o.late = 1 AND coalesce(w.recent + {COOLDOWN_US} <= o.us, false),
+    CASE WHEN o.late = 0 OR w.recent + {COOLDOWN_US} <= o.us THEN o.us ELSE w.recent END
   FROM walk w JOIN ordered o ON o.alert_key = w.alert_key AND o.rn = w.rn + 1)"""
 
 
@@ -393,6 +394,7 @@ def _(spark, sf):
 
 
 _THROTTLE_MINUTES = 600
+_THROTTLE_US = f"CAST({_THROTTLE_MINUTES * 60_000_000} AS BIGINT)"
 
 
 @query(
@@ -407,7 +409,7 @@ uses AS (SELECT 'agent-' || host_id AS id, epoch_us(event_timestamp) AS us, row_
 walk AS (SELECT c.id, CAST(0 AS BIGINT) AS rn, epoch_us(c.last_used_at) AS recent,
     c.last_used_at IS NOT NULL AS recorded FROM credentials_in c
   UNION ALL
-  SELECT u.id, u.rn, CASE WHEN w.recent IS NULL OR w.recent < u.us - {_THROTTLE_MINUTES} * CAST(60000000 AS BIGINT)
+  SELECT u.id, u.rn, CASE WHEN w.recent IS NULL OR w.recent < u.us - {_THROTTLE_US}
     THEN u.us ELSE w.recent END, true
   FROM walk w JOIN uses u ON u.id = w.id AND u.rn = w.rn + 1)""",
     ),

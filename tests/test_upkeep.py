@@ -31,8 +31,9 @@ def test_policy_and_outbox(spark):
     got = {r["ingest_seq"]: (r["event_type"], r["decision"]) for r in policy.collect()}
     assert got == {0: ("alert.opened", "DELIVER"), 1: (None, "SUPPRESSED"), 2: ("alert.reminder", "DELIVER"),
                    3: ("alert.acknowledged", "DELIVER"), 4: ("alert.resolved", "DELIVER"), 5: ("alert.reopened", "DELIVER")}
-    outbox = N.notification_outbox(policy).where("event_type = 'alert.opened'").collect()[0]
+    outbox = N.notification_outbox(policy, schema_version="mine.v2").where("event_type = 'alert.opened'").collect()[0]
     body = json.loads(outbox["payload"])
+    assert body["schema_version"] == "mine.v2"
     assert list(body) == ["schema_version", "event_type", "occurred_at", "source", "alert"]
     assert body["occurred_at"] == "2026-01-01T00:00:00Z" and body["alert"]["first_seen"] == "2026-01-01T00:00:30Z"
     assert body["alert"]["occurrence_count"] == 2 and body["source"]["channel"] == "webhook"
