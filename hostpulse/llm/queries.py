@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import bpe, sharding, simple8b, warc
+from hostpulse.llm import bpe, dartminhash, decontaminate, postings, quality, secrets, sharding, simple8b, warc
 from hostpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,52 @@ SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, p.digest AS p
        CASE WHEN o.owner <> p.page_id THEN o.owner END AS refers_to
 FROM p LEFT JOIN o ON p.digest = o.digest AND strlen(p.html) >= 100
 """
+
+
+@_register
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, one row per document and item."""
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "at")
+
+
+@_register
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, base spans and owner-specific additions."""
+    scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scanned.select(
+        "doc_id", of("assign"), of("access"), of("hex"),
+        F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.spelled(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.size("live").alias("n_live"),
+    )
+
+
+@_register
+def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def _training_row() -> Column:
+    """Rows whose labels may be learned: the checksum of the id is not 2 modulo 4."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+
+
+@_register
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the classifier fitted on the training rows."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), usable=_training_row())
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (~_training_row()).alias("held_out"), "score",
+        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@_register
+def op8_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return postings.nearest_vectors(table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
