@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hostpulse.session import shared_dir
 
 #: Text bytes that a Python worker turns into arrays at once; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +108,7 @@ def spans_to_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
-    x = x.astype(np.uint64, copy=True)
+    x = x.astype(np.uint64)
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
@@ -146,3 +146,9 @@ class SpanHash:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def fixed(self, width: int) -> np.ndarray:
+        """Hashes of all spans of one width, by their start."""
+        raw = self.sums[width:] - self.sums[:-width]
+        raw *= self.back[: len(raw)]
+        return mix(raw)

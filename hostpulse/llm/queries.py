@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import bpe, dartminhash, decontaminate, postings, quality, secrets, sharding, simple8b, warc
+from hostpulse.llm import bpe, dartminhash, decontaminate, postings, quality, secrets, sharding, simple8b, substrings, warc
 from hostpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +107,7 @@ def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
-def _training_row() -> Column:
+def training_row() -> Column:
     """Rows whose labels may be learned: the checksum of the id is not 2 modulo 4."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
 
@@ -116,10 +116,10 @@ def _training_row() -> Column:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by the classifier fitted on the training rows."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), usable=_training_row())
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), usable=training_row())
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
     return scored.select(
-        "doc_id", (~_training_row()).alias("held_out"), "score",
+        "doc_id", (~training_row()).alias("held_out"), "score",
         F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
 
@@ -128,3 +128,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return postings.nearest_vectors(table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
+
+
+@_register
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their 50-byte strings that also start in an earlier document."""
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.expr("CAST(size(spans) DIV 2 AS BIGINT)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
