@@ -235,12 +235,14 @@ def alert_state(
     return state_of(fold_signals(signals, state=state, target=target), state)
 
 
-def current_alerts(transitions: DataFrame) -> DataFrame:
-    """The newest state of every alert; one aggregate, copies collapse before the shuffle."""
+def current_alerts(
+    transitions: DataFrame, *, order: tuple[str, ...] = ("ingest_seq", "sub_seq")
+) -> DataFrame:
+    """The newest state of every alert by ``order``; one aggregate, copies collapse before the shuffle."""
     state = F.struct(*[c for c in ALERT_COLUMNS if c != "alert_key"])
     return (
         transitions.groupBy("alert_key")
-        .agg(F.max_by(state, F.struct("ingest_seq", "sub_seq")).alias("state"))
+        .agg(F.max_by(state, F.struct(*order)).alias("state"))
         .select("alert_key", "state.*")
     )
 

@@ -187,8 +187,8 @@ def _rollup(tel: DataFrame) -> DataFrame:
     )
 
 
-def host_rollup(tel: DataFrame, *, limit: int | None = S.MAX_HOSTS_LISTED) -> DataFrame:
-    """Per host the totals and newest readings, newest activity first; ``None`` lists all hosts."""
+def host_rollup(tel: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Per host the totals and newest readings, all hosts; with ``limit`` a page, newest activity first."""
     rollup = _rollup(tel)
     if limit is None:
         return rollup
@@ -205,7 +205,7 @@ def host_listing(
     *,
     now: datetime | Column,
     defaults: dict[str, float] | None = None,
-    limit: int | None = S.MAX_HOSTS_LISTED,
+    limit: int | None = None,
 ) -> DataFrame:
     """The roll-up with display name, seconds of silence and status."""
     hosts = with_effective_rules(
@@ -296,7 +296,6 @@ def fleet_summary(
     alerts: DataFrame,
     *,
     window: int = S.WINDOW,
-    max_hosts: int = S.MAX_HOSTS_LISTED,
 ) -> DataFrame:
     """One row: totals, the mean of the newest events fleet-wide and the newest event."""
     recent = recent_events(tel, window).agg(
@@ -309,7 +308,7 @@ def fleet_summary(
     active = alerts.where(F.col("status") != "RESOLVED").agg(F.count(F.lit(1)))
     totals = tel.groupBy("host_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
-        F.least(F.count("host_id"), F.lit(max_hosts).cast("long")).alias("hosts"),
+        F.count("host_id").alias("hosts"),
     )
     return totals.select(
         "total_events",
@@ -355,12 +354,8 @@ def telemetry_snapshot(tel: DataFrame, *, window: int = S.WINDOW) -> DataFrame:
     )
 
 
-def fleet_heartbeat(
-    tel: DataFrame, alerts: DataFrame, *, max_hosts: int = S.MAX_HOSTS_LISTED
-) -> DataFrame:
-    hosts = tel.select("host_id").distinct().agg(
-        F.least(F.count("host_id"), F.lit(max_hosts).cast("long")).alias("hosts")
-    )
+def fleet_heartbeat(tel: DataFrame, alerts: DataFrame) -> DataFrame:
+    hosts = tel.select("host_id").distinct().agg(F.count("host_id").alias("hosts"))
     active = alerts.where(F.col("status") != "RESOLVED").agg(F.count(F.lit(1)))
     return hosts.select("hosts", active.scalar().alias("active_alerts"))
 

@@ -128,14 +128,13 @@ SELECT r.host_id, r.hostname, r.event_count, r.first_seen, r.last_seen, n.agent_
   n.queue_depth, n.disk_usage, n.disk_path
 FROM rollup r JOIN newest_rows n ON n.host_id = r.host_id
 """
-CTES["hosts_listed"] = "SELECT * FROM hosts_all ORDER BY last_seen DESC, host_id LIMIT 200"
 CTES["silence"] = f"""
 SELECT 'agent-silent@' || h.host_id AS alert_key, 'AGENT_SILENT' AS alert_type, h.host_id,
-  CAST(1000000000 AS BIGINT) AS ingest_seq, 1000000 AS sub_seq, {NOW} AS at,
+  (SELECT max(ingest_seq) FROM flagged) AS ingest_seq, 1000000 AS sub_seq, {NOW} AS at,
   CASE WHEN NOT r.enabled THEN 'CLEAR' ELSE 'BREACH' END AS kind,
   CASE WHEN r.enabled THEN CAST(epoch_us({NOW}) - epoch_us(h.last_seen) AS BIGINT) // 60000000 END
     AS value, r.threshold
-FROM hosts_listed h
+FROM hosts_all h
 JOIN effective r ON r.host_id = h.host_id AND r.rule_type = 'AGENT_SILENT'
 WHERE NOT r.enabled OR (epoch_us({NOW}) - epoch_us(h.last_seen) <= 168 * 3600000000
   AND (epoch_us({NOW}) - epoch_us(h.last_seen)) // 60000000 >= CAST(r.threshold AS BIGINT))

@@ -12,8 +12,6 @@ from hostpulse.plans.checks import NOW, check
 from hostpulse.plans.registry import query
 from hostpulse.sources import materialize
 
-SWEEP_SEQ = 1_000_000_000
-
 
 def flagged(spark, sf):
     """Deliveries with ``is_new``, written once: the later stages read it several times."""
@@ -25,8 +23,10 @@ def evaluated(spark, sf):
 
 
 def sweep(spark, sf, rules):
+    """The silence sweep after all deliveries: it carries the number of the last one."""
     hosts = host_rollup(fixtures.load(spark, sf, "telemetry"))
-    return D.silence_signals(hosts, rules, now=fixtures.now(), sweep_seq=SWEEP_SEQ)
+    newest = fixtures.load(spark, sf, "deliveries").agg(F.max("ingest_seq")).scalar()
+    return D.silence_signals(hosts, rules, now=fixtures.now(), sweep_seq=newest)
 
 
 def _plain(signals):

@@ -133,7 +133,7 @@ SELECT h.*, coalesce(h.hostname, h.host_id) AS display_name,
   greatest(0, (epoch_us({NOW}) - epoch_us(h.last_seen)) // 1000000) AS silent_seconds,
   CASE WHEN r.enabled AND (epoch_us({NOW}) - epoch_us(h.last_seen)) // 1000000
       >= CAST(floor(r.threshold) AS BIGINT) * 60 THEN 'silent' ELSE 'reporting' END AS status
-FROM hosts_listed h JOIN effective r ON r.host_id = h.host_id AND r.rule_type = 'AGENT_SILENT'
+FROM hosts_all h JOIN effective r ON r.host_id = h.host_id AND r.rule_type = 'AGENT_SILENT'
 """
 
 
@@ -185,7 +185,7 @@ def _(spark, sf):
     check("""
 SELECT (SELECT count(*) FROM telemetry) AS total_events,
   (SELECT count(*) FROM alerts WHERE status <> 'RESOLVED') AS active_alerts,
-  (SELECT least(200, count(*)) FROM hosts_all) AS hosts,
+  (SELECT count(*) FROM hosts_all) AS hosts,
   round(avg(cpu_usage), 6) AS average_cpu, round(avg(ram_usage), 6) AS average_ram,
   max_by(event_id, event_timestamp) AS latest_event_id
 FROM (SELECT * FROM telemetry ORDER BY event_timestamp DESC, ingest_seq DESC LIMIT 5) AS newest"""),
@@ -236,7 +236,7 @@ def _(spark, sf):
 @query(
     "fleet_heartbeat",
     check("""
-SELECT (SELECT least(200, count(*)) FROM hosts_all) AS hosts,
+SELECT (SELECT count(*) FROM hosts_all) AS hosts,
   (SELECT count(*) FROM alerts WHERE status <> 'RESOLVED') AS active_alerts"""),
 )
 def _(spark, sf):
@@ -247,7 +247,7 @@ def _(spark, sf):
 @query(
     "fullest_disk",
     check("""
-SELECT host_id, hostname, disk_usage, disk_path FROM hosts_listed WHERE disk_usage IS NOT NULL
+SELECT host_id, hostname, disk_usage, disk_path FROM hosts_all WHERE disk_usage IS NOT NULL
 ORDER BY disk_usage DESC, last_seen DESC, host_id LIMIT 1"""),
 )
 def _(spark, sf):

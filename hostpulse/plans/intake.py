@@ -11,7 +11,6 @@ from hostpulse.operators import ingest as I
 from hostpulse.plans import fixtures
 from hostpulse.plans.checks import check
 from hostpulse.plans.registry import query
-from hostpulse.session import shared_dir
 from hostpulse.sources import (
     append_deliveries,
     append_telemetry,
@@ -22,6 +21,7 @@ from hostpulse.sources import (
     replay_queue,
     write_rejected,
 )
+from hostpulse.sources.tables import stages_folder
 
 WINDOW_MS, MAX_REQUESTS = 6 * 3_600_000, 3
 
@@ -48,7 +48,7 @@ _LOGIN = """submissions s LEFT JOIN credentials_in c
 
 
 def _scratch(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/hostpulse-stages/{name}-{uuid.uuid4().hex}"
+    return f"{stages_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def raw(spark, sf):

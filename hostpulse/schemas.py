@@ -33,7 +33,6 @@ WINDOW = 5
 MAX_BODY_BYTES = 65_536
 MAX_ID_LENGTH = 128
 MAX_MESSAGE_LENGTH = 1000
-MAX_HOSTS_LISTED = 200
 MAX_SILENCE_MINUTES = 10_080
 FORGET_HOURS = 168
 

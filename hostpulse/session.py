@@ -33,7 +33,8 @@ def local_session(cores: int = 8, *, name: str = "hostpulse", **settings: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach: the cluster's checkpoint folder.
 
-    Only where none is configured (tests, a laptop) a temporary folder becomes the checkpoint folder.
+    Only where none is configured and everything runs in one process (tests, a laptop) a temporary folder
+    becomes the checkpoint folder; on a cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     fallback = tempfile.mkdtemp(prefix="hostpulse-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

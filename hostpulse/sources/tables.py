@@ -14,7 +14,7 @@ from hostpulse.operators.maintain import prune_history
 from hostpulse.session import shared_dir
 
 
-def _stages(spark: SparkSession) -> str:
+def stages_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/hostpulse-stages/{spark.sparkContext.applicationId}"
 
 
@@ -26,14 +26,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     removes the stages of this application.
     """
     spark = df.sparkSession
-    path = f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stages_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession) -> None:
     """Remove the stage tables this application wrote, once no DataFrame needs them."""
-    delete_folder(spark, _stages(spark))
+    delete_folder(spark, stages_folder(spark))
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -105,16 +105,19 @@ def prune_table(
     now: datetime | Column,
     days: int = 30,
 ) -> int:
-    """Retention on a table partitioned by ``event_date``; returns how many rows went.
+    """Retention on a table partitioned by ``event_date``, below ``version`` folders or not; returns how many rows went.
 
-    Whole dates before the cutoff are replaced by nothing and the boundary date by its kept rows;
-    every other partition stays untouched on disk.
+    The boundary date's kept rows are written first and then replace their partitions; only after that do the
+    partitions go that hold nothing to keep.  A run that breaks off leaves rows that should have gone, never loses
+    rows that stay, and is put right by the next run.
     """
     if days <= 0:
         return 0
-    table = spark.read.schema(
-        T.StructType(schema.fields + [T.StructField("event_date", T.DateType())])
-    ).parquet(path)
+    below = [name for name in subfolders(spark, path) if name.startswith("version=")]
+    layout = ["version", "event_date"] if below else ["event_date"]
+    kinds = {"version": T.StringType(), "event_date": T.DateType()}
+    parts = [T.StructField(name, kinds[name]) for name in layout]
+    table = spark.read.schema(T.StructType(schema.fields + parts)).parquet(path)
     at = now if isinstance(now, Column) else F.lit(now)
     boundary = F.to_date(at - F.expr(f"INTERVAL '{days}' DAY"))
     kept, removed = prune_history(table, time_col=time_col, now=now, days=days)
@@ -122,9 +125,10 @@ def prune_table(
     if count == 0:
         return 0
     rewrite = materialize(kept.where(F.col("event_date") == boundary), "retention")
-    dates = table.where(F.col("event_date") <= boundary).select("event_date").distinct()
-    stale = [row["event_date"] for row in dates.collect()]
-    for date in stale:
-        delete_folder(spark, f"{path}/event_date={date}")
-    rewrite.write.mode("append").partitionBy("event_date").parquet(path)
+    full = {tuple(row) for row in rewrite.select(*layout).distinct().collect()}
+    dated = {tuple(row) for row in table.where(F.col("event_date") <= boundary).select(*layout).distinct().collect()}
+    if full:
+        rewrite.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
+    for values in sorted(dated - full):
+        delete_folder(spark, "/".join([path, *(f"{k}={v}" for k, v in zip(layout, values))]))
     return count

@@ -6,12 +6,16 @@ same ordered work (see ``operators.hot_keys``), and a hot host is split inside a
 batch job.
 
 Everything a batch writes goes to folders named after its id and replaces what a failed try left
-there, so a restart from the checkpoint gives every result exactly once.  Nothing is dropped for
+there; a version counts only once its marker in ``finished`` is written, last of all.  So a restart from the
+checkpoint gives every result exactly once, and no reader sees half a batch.  Nothing is dropped for
 being late: windows follow arrival order and need no watermark.
 """
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -29,6 +33,8 @@ from hostpulse.sources.raw import number_batch
 from hostpulse.sources.tables import delete_folder, subfolders, write_rejected
 
 STATES_KEPT = 3
+# Batches and sweeps of one fleet run on the driver one after the other.
+_TURNS: defaultdict[str, threading.RLock] = defaultdict(threading.RLock)
 # Sweeps come after all signals of the newest delivery, in their own order.
 _SWEEP_SUB_SEQ = 1_000_000
 
@@ -66,20 +72,38 @@ class Fleet:
 
     def telemetry(self, spark: SparkSession) -> DataFrame:
         """All stored events (every batch has its own folder)."""
-        return _versions(spark, self.path("telemetry"))
+        return _versions(spark, self, "telemetry")
 
     def transitions(self, spark: SparkSession) -> DataFrame:
-        return _versions(spark, self.path("transitions"))
+        return _versions(spark, self, "transitions")
 
     def rejected(self, spark: SparkSession) -> DataFrame:
-        return _versions(spark, self.path("rejected"))
+        return _versions(spark, self, "rejected")
 
     def alerts(self, spark: SparkSession) -> DataFrame:
-        return L.current_alerts(self.transitions(spark))
+        return L.current_alerts(self.transitions(spark), order=("version", "ingest_seq", "sub_seq"))
 
+    def finished(self, spark: SparkSession) -> list[str]:
+        """Versions that are complete, in order."""
+        names = subfolders(spark, self.path("finished"))
+        return [name.removeprefix("version=") for name in names if name.startswith("version=")]
 
-def _versions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(f"{path}/version=*")
+
+def _versions(spark: SparkSession, fleet: Fleet, name: str, before: str | None = None) -> DataFrame:
+    """All finished versions of a table, or those before one."""
+    path = fleet.path(name)
+    done = [v for v in fleet.finished(spark) if before is None or v < before]
+    there = set(subfolders(spark, path))
+    paths = [f"{path}/version={v}" for v in done if f"version={v}" in there]
+    if not paths:
+        raise ValueError(f"no finished batch has written {name}")
+    return spark.read.option("basePath", path).parquet(*paths)
+
+
+def _finish(spark: SparkSession, fleet: Fleet, version: str) -> None:
+    """Mark a version as complete; from here on readers and later batches count it."""
+    marker = f"{fleet.path('finished')}/version={version}"
+    spark.createDataFrame([(version,)], "done string").coalesce(1).write.mode("overwrite").parquet(marker)
 
 
 def _write(df: DataFrame, path: str, version: str) -> DataFrame:
@@ -89,14 +113,15 @@ def _write(df: DataFrame, path: str, version: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
-def _older(spark: SparkSession, path: str, version: str) -> list[str]:
-    names = [name.removeprefix("version=") for name in subfolders(spark, path)]
-    return [name for name in names if name[0].isdigit() and name < version]
+def _older(spark: SparkSession, fleet: Fleet, name: str, version: str) -> list[str]:
+    """Finished versions of a table before ``version``."""
+    there = set(subfolders(spark, fleet.path(name)))
+    return [v for v in fleet.finished(spark) if v < version and f"version={v}" in there]
 
 
-def _state_before(spark: SparkSession, path: str, version: str) -> DataFrame | None:
-    """The newest state older than ``version``; states older than the last few are removed."""
-    older = _older(spark, path, version)
+def _state_before(spark: SparkSession, fleet: Fleet, name: str, version: str) -> DataFrame | None:
+    """The newest finished state older than ``version``; states older than the last few are removed."""
+    path, older = fleet.path(name), _older(spark, fleet, name, version)
     for name in older[:-STATES_KEPT]:
         delete_folder(spark, f"{path}/version={name}")
     if not older:
@@ -142,8 +167,17 @@ def _judge(
     delete_folder(spark, f"{fleet.path('work/folded')}/version={version}")
 
 
-def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
-    """One micro-batch from raw submissions to alert transitions."""
+def process_batch(
+    fleet: Fleet, batch: DataFrame, batch_id: int, *, now: datetime | Column | None = None
+) -> None:
+    """One micro-batch from raw submissions to alert transitions; with ``now`` a silence sweep ends it."""
+    with _TURNS[fleet.root]:
+        _ingest(fleet, batch, batch_id)
+        if now is not None:
+            sweep_once(batch.sparkSession, fleet, now=now)
+
+
+def _ingest(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
     spark, version = batch.sparkSession, fleet.version(batch_id)
     checked = _accepted(fleet, spark, number_batch(batch, batch_id)).drop("j")
     work = fleet.path("work")
@@ -156,11 +190,9 @@ def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
     events = I.normalize_events(parsed, keep=bound)
     if bound:
         events = I.attribute_events(events).drop("host_mismatch", "bound_host_id")
-    known = _older(spark, fleet.path("telemetry"), version)
-    stored = _versions(spark, fleet.path("telemetry")) if known else None
+    known = _older(spark, fleet, "telemetry", version)
+    stored = _versions(spark, fleet, "telemetry", before=version) if known else None
     if stored is not None:
-        # A failed try of this very batch may have left its folder.
-        stored = stored.where(F.col("version") < version)
         if fleet.same_time_copies:
             days = events.select(F.to_date("event_timestamp").alias("day")).distinct().collect()
             stored = stored.where(F.col("event_date").isin([row["day"] for row in days]))
@@ -177,8 +209,8 @@ def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
     target = f"{fleet.path('telemetry')}/version={version}"
     ordered.write.mode("overwrite").partitionBy("event_date").parquet(target)
 
-    tails = _state_before(spark, fleet.path("state/windows"), version)
-    alerts = _state_before(spark, fleet.path("state/alerts"), version)
+    tails = _state_before(spark, fleet, "state/windows", version)
+    alerts = _state_before(spark, fleet, "state/alerts", version)
     evals = D.evaluations(
         deliveries, window=fleet.window, tails=tails, target=_split_target(deliveries)
     )
@@ -189,50 +221,67 @@ def process_batch(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
         fleet.path("state/windows"),
         version,
     )
+    # the last number received, copies included: a sweep comes after it
+    seen = deliveries.agg(F.max("ingest_seq").alias("ingest_seq"))
+    earlier = _state_before(spark, fleet, "state/received", version)
+    if earlier is not None:
+        seen = seen.union(earlier.select("ingest_seq")).agg(F.max("ingest_seq").alias("ingest_seq"))
+    _write(seen, fleet.path("state/received"), version)
+    _finish(spark, fleet, version)
     for name in ("checked", "deliveries", "signals"):
         delete_folder(spark, f"{work}/{name}/version={version}")
 
 
 def start_fleet(
-    raw: DataFrame, fleet: Fleet, *, once: bool = False, every: str = "10 seconds"
+    raw: DataFrame,
+    fleet: Fleet,
+    *,
+    once: bool = False,
+    every: str = "10 seconds",
+    clock: Callable[[], datetime] | None = None,
 ) -> StreamingQuery:
     """Start the stream over ``read_raw_events(..., streaming=True)`` or ``replay_queue``.
 
-    ``once`` works off what is there and stops.
+    ``once`` works off what is there and stops.  With a ``clock`` every micro-batch ends with a silence sweep at its
+    time; when no events come at all, call ``sweep_once`` beside the stream.
     """
     writer = (
         raw.writeStream.queryName("fleet")
         .option("checkpointLocation", fleet.path("checkpoint"))
-        .foreachBatch(lambda batch, batch_id: process_batch(fleet, batch, batch_id))
+        .foreachBatch(
+            lambda batch, batch_id: process_batch(
+                fleet, batch, batch_id, now=None if clock is None else F.lit(clock())
+            )
+        )
     )
     if once:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=every).start()
 
 
-def sweep_once(
-    spark: SparkSession, fleet: Fleet, *, now: datetime | Column, max_hosts: int = S.MAX_HOSTS_LISTED
-) -> DataFrame:
-    """One silence sweep over the stored events; run it between micro-batches.
+def sweep_once(spark: SparkSession, fleet: Fleet, *, now: datetime | Column) -> DataFrame:
+    """One silence sweep over all hosts with stored events; waits for a micro-batch that is running.
 
-    Returns the sweep's signals.  A sweep is a further version after the newest batch.
+    Returns the sweep's signals.  A sweep is a further version after the newest batch, and the next batch
+    starts from its state.
     """
-    done = _older(spark, fleet.path("state/alerts"), "999999999999-999999")
-    if not done:
-        raise ValueError("nothing has been ingested yet")
-    batch_id, last = (int(part) for part in done[-1].split("-"))
-    version = fleet.version(batch_id, last + 1)
-    tel = fleet.telemetry(spark)
-    newest = tel.agg(F.max("ingest_seq")).scalar()
-    signals = D.silence_signals(
-        host_rollup(tel, limit=max_hosts),
-        fleet.read_rules(spark),
-        now=now,
-        sweep_seq=newest,
-        sub_seq=_SWEEP_SUB_SEQ + last + 1,
-        defaults=fleet.defaults,
-    )
-    log = _write(signals, fleet.path("work/signals"), version)
-    state = _state_before(spark, fleet.path("state/alerts"), version)
-    _judge(fleet, spark, log, version, state)
-    return log
+    with _TURNS[fleet.root]:
+        done = _older(spark, fleet, "state/alerts", "999999999999-999999")
+        if not done:
+            raise ValueError("nothing has been ingested yet")
+        batch_id, last = (int(part) for part in done[-1].split("-"))
+        version = fleet.version(batch_id, last + 1)
+        newest = _state_before(spark, fleet, "state/received", version).agg(F.max("ingest_seq")).scalar()
+        signals = D.silence_signals(
+            host_rollup(fleet.telemetry(spark)),
+            fleet.read_rules(spark),
+            now=now,
+            sweep_seq=newest,
+            sub_seq=_SWEEP_SUB_SEQ + last + 1,
+            defaults=fleet.defaults,
+        )
+        log = _write(signals, fleet.path("work/signals"), version)
+        state = _state_before(spark, fleet, "state/alerts", version)
+        _judge(fleet, spark, log, version, state)
+        _finish(spark, fleet, version)
+        return log

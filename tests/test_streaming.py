@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from hostpulse.operators import detect, ingest, lifecycle
 from hostpulse.sources import read_raw_events, replay_queue
+from hostpulse import schemas as S
+from hostpulse.sources import prune_table
 from hostpulse.streaming import Fleet, start_fleet, stream_new_events, sweep_once
 
 
@@ -129,7 +131,7 @@ def test_outage_queue_is_replayed_without_loss(spark, tmp_path):
     queue.mkdir()
 
     def body(i):
-        return json.dumps({"event_id": f"e{i}", "level": "ERROR", "msg": "outage-test-event",
+        return json.dumps({"event_id": f"e{i}", "level": "ERROR", "msg": f"reading {i} while the link was down",
                            "correlation_id": f"c{i}",
                            "timestamp": f"2026-01-01T00:00:{i:02d}Z", "cpu_usage": 1, "ram_usage": 1})
 
@@ -215,3 +217,52 @@ def test_numbers_of_a_split_file_follow_its_lines(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows.tolist() == list(range(-1, 250_000))
+
+
+def _event(event_id, host, minutes):
+    at = (START + timedelta(minutes=minutes)).isoformat() + "Z"
+    return json.dumps({"event_id": event_id, "host_id": host, "level": "INFO", "msg": "m", "timestamp": at,
+                       "cpu_usage": 1, "ram_usage": 1})
+
+
+def test_sweep_after_a_redelivery_counts_last(spark, tmp_path):
+    """Opened by a sweep, resolved by a repeated delivery, opened again: the newest state is that of the last sweep."""
+    source, fleet = tmp_path / "in", Fleet(str(tmp_path / "fleet"))
+    source.mkdir()
+    raw = read_raw_events(spark, str(source), streaming=True)
+
+    def deliver(name):
+        _drop(source, name, [_event("only", "quiet", 0)])
+        start_fleet(raw, fleet, once=True).awaitTermination()
+
+    deliver("first.json")
+    assert sweep_once(spark, fleet, now=START + timedelta(hours=2)).count() == 1
+    deliver("again.json")
+    assert fleet.alerts(spark).where("alert_type = 'AGENT_SILENT'").first()["status"] == "RESOLVED"
+    sweep_once(spark, fleet, now=START + timedelta(hours=3))
+    alert = fleet.alerts(spark).where("alert_type = 'AGENT_SILENT'").first()
+    assert (alert["status"], alert["occurrence_count"]) == ("OPEN", 2)
+
+
+def test_every_host_is_swept_and_half_a_batch_is_not_read(spark, tmp_path):
+    source, fleet = tmp_path / "in", Fleet(str(tmp_path / "fleet"))
+    source.mkdir()
+    _drop(source, "all.json", [_event(f"e{i}", f"h{i:03d}", i / 100) for i in range(230)])
+    raw = read_raw_events(spark, str(source), streaming=True)
+    late = START + timedelta(hours=2)
+    start_fleet(raw, fleet, once=True, clock=lambda: late).awaitTermination()
+    assert fleet.alerts(spark).where("status = 'OPEN' AND alert_type = 'AGENT_SILENT'").count() == 230
+    fleet.telemetry(spark).drop("version").limit(5).write.parquet(fleet.path("telemetry/version=000000000009-000000"))
+    assert fleet.telemetry(spark).count() == 230
+
+
+def test_retention_on_the_streams_table(spark, tmp_path):
+    source, fleet = tmp_path / "in", Fleet(str(tmp_path / "fleet"))
+    source.mkdir()
+    for part in range(2):
+        _drop(source, f"{part}.json", [_event(f"e{i}", "h", i * 720) for i in range(part * 10, part * 10 + 10)])
+        start_fleet(read_raw_events(spark, str(source), streaming=True), fleet, once=True).awaitTermination()
+    now = START + timedelta(minutes=19 * 720)
+    gone = prune_table(spark, fleet.path("telemetry"), schema=S.TELEMETRY, time_col="event_timestamp", now=now, days=3)
+    assert gone == 13
+    assert sorted(r["event_id"] for r in fleet.telemetry(spark).select("event_id").collect()) == sorted(f"e{i}" for i in range(13, 20))
