@@ -194,10 +194,11 @@ def _verified(pairs: DataFrame, marks: DataFrame, elements: DataFrame, similarit
 
 
 def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """Classes of near-duplicate documents: ``doc_id``, ``class_id`` and ``text_hash``, one row per input row.
+    """Classes of near-duplicate documents: ``doc_id``, ``class_id``, ``text_hash`` and ``class_key``, one row per input row.
 
     Two documents are linked where the weighted similarity of their five-word shingles (weights: occurrences) is at least
-    ``similarity``; classes are the connected components, named by their smallest id.  Documents with equal
+    ``similarity``; classes are the connected components, named by their smallest id (``class_key`` tells apart classes
+    that share an id, or have none).  Documents with equal
     shingles are one node from the start (named by a 64-bit hash), so copies make no pairs.  Candidates share a band of their DartMinHash
     signatures.  In every bucket each class is compared with a leader, not with all others; links merge classes, and
     further turns with other leaders compare what is still apart.  Null and empty texts are classes of their own; null ids
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     rows = sketched.select("doc_id", "text_hash", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select("doc_id", "text_hash", F.coalesce("label", "id").alias("label"))
     smallest = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(smallest, "label").select("doc_id", "class_id", "text_hash")
+    return rows.join(smallest, "label").select("doc_id", "class_id", "text_hash", F.col("label").alias("class_key"))
 
 
 def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -247,10 +248,13 @@ def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
 
     Of rows that repeat this id, and of classes without any id, one row stays.
     """
-    classes = near_duplicates(docs, text_col=text_col, id_col=id_col, similarity=similarity)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_k_id"), F.col("text_hash").alias("_k_hash"))
-    one = kept.groupBy("_k_id").agg(F.min("_k_hash").alias("_k_hash"))
-    nameless = kept.where(F.col("_k_id").isNull())
-    one = staged(one.where(F.col("_k_id").isNotNull()).union(nameless).distinct(), "kept-ids")
+    classes = staged(near_duplicates(docs, text_col=text_col, id_col=id_col, similarity=similarity), "classes")
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    one = staged(
+        first.groupBy("class_key", F.col("doc_id").alias("_k_id")).agg(F.min("text_hash").alias("_k_hash")).select("_k_id", "_k_hash").distinct(),
+        "kept-ids",
+    )
     same = docs[id_col].eqNullSafe(F.col("_k_id")) & (F.xxhash64(docs[text_col]) == F.col("_k_hash"))
-    return docs.join(one, same, "left_semi").dropDuplicates([c for c in docs.columns if c in (id_col, text_col)])
+    kept = docs.join(one, same, "left_semi")
+    repeated = classes.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
