@@ -9,7 +9,6 @@ starts from its own seed row.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,68 +25,79 @@ NEVER = np.iinfo(np.int64).max // 2
 ALWAYS = -NEVER
 
 
-def _next_index(times, forced, start: int, threshold: int, low: int, high: int) -> int:
-    """Index in [low, high) of the next anchor: the first forced row or first time >= threshold."""
-    by_time = bisect_left(times, threshold, low, high)
-    position = bisect_left(forced, start)
-    by_force = forced[position] if position < len(forced) else high
-    return min(by_time, by_force, high)
-
-
-def _chain(times, forced, low: int, high: int, threshold: int, gap: int) -> list[int]:
-    """Indices of all anchors in [low, high) for the entry threshold."""
-    found = []
-    at = _next_index(times, forced, low, threshold, low, high)
-    while at < high:
-        found.append(at)
-        at = _next_index(times, forced, at + 1, times[at] + gap, at + 1, high)
-    return found
+def _reached(first: np.ndarray, hop: np.ndarray) -> np.ndarray:
+    """Rows on the chains that begin at ``first`` and follow ``hop``; the last entry of ``hop`` is the end of all."""
+    marked = np.zeros(len(hop), bool)
+    marked[first] = True
+    while True:
+        marked[hop[marked]] = True
+        if hop.min() == len(hop) - 1:
+            return marked[:-1]
+        hop = hop[hop]
 
 
 def _marker(key: str, time: str, gap: int, entry: int):
-    """One forward pass over sorted batches; the open chain of a group crosses batch borders."""
+    """One forward pass over sorted batches; the open chain of a group crosses batch borders.
+
+    Only key, chunk, time and flags become arrays, the other columns stay as they came.  All groups of a batch are
+    followed together, by doubling hops.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_group, anchor, threshold = None, None, entry
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            keys = table.column(key).to_pylist()
-            chunks = table.column("chunk").to_pylist()
-            times = table.column(time).to_pylist()
-            forced_flags = table.column("forced").to_pylist()
-            seeds = table.column("seed").to_pylist()
-            total = len(times)
-            anchors: list[int | None] = [None] * total
-            picked = [False] * total
-            low = 0
-            while low < total:
-                group = (keys[low], chunks[low])
-                high = low + 1
-                while high < total and keys[high] == group[0] and chunks[high] == group[1]:
-                    high += 1
-                if group != open_group:
-                    open_group, anchor, threshold = group, None, entry
-                first = low
-                if seeds[low]:
-                    first = low + 1
-                    anchor = times[low]
-                    threshold = anchor + gap
-                forced = [i for i in range(first, high) if forced_flags[i]]
-                found = _chain(times, forced, first, high, threshold, gap)
-                cursor = 0
-                for i in range(first, high):
-                    if cursor < len(found) and found[cursor] == i:
-                        anchor = times[i]
-                        picked[i] = True
-                        cursor += 1
-                    anchors[i] = anchor
-                if found:
-                    threshold = anchor + gap
-                low = high
-            out = table.append_column("anchor", pa.array(anchors, pa.int64()))
+            n = batch.num_rows
+            if n == 0:
+                continue
+            keys = batch.column(key)
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
+            times = batch.column(time).to_numpy(zero_copy_only=False)
+            forced = np.flatnonzero(batch.column("forced").fill_null(False).to_numpy(zero_copy_only=False))
+            seeds = batch.column("seed").to_numpy(zero_copy_only=False)
+            fresh = np.append(True, (codes[1:] != codes[:-1]) | (chunks[1:] != chunks[:-1]))
+            starts = np.flatnonzero(fresh)
+            group = np.cumsum(fresh) - 1
+            ends = np.append(starts[1:], n)
+            if (keys[0].as_py(), chunks[0]) != open_group:
+                anchor, threshold = None, entry
+
+            # The place of a time among all times of the batch, so that (group, time) is one ascending number.
+            distinct = np.unique(times)
+            width = len(distinct) + 1
+            order = group * width + np.searchsorted(distinct, times)
+            next_forced = np.append(forced, n)
+
+            def next_at(groups, limits, rows):
+                by_time = np.searchsorted(order, groups * width + np.searchsorted(distinct, limits))
+                by_force = next_forced[np.searchsorted(forced, rows)]
+                at = np.minimum(np.maximum(by_time, rows), by_force)
+                return np.where(at < ends[groups], at, n)
+
+            limits = np.full(len(starts), entry)
+            limits[0] = threshold
+            first = next_at(np.arange(len(starts)), limits, starts)
+            first = np.where(seeds[starts], starts, first)
+            hop = np.append(next_at(group, times + gap, np.arange(n) + 1), n)
+            picked = _reached(first, hop)
+
+            newest = np.maximum.accumulate(np.where(picked, np.arange(n), -1))
+            known = newest >= starts[group]
+            anchors = times[np.maximum(newest, 0)]
+            if anchor is not None:
+                carried = ~known & (group == 0)
+                anchors[carried] = anchor
+                known |= carried
+            if known[-1]:
+                anchor = int(anchors[-1])
+                threshold = anchor + gap
+            elif len(starts) > 1:
+                anchor, threshold = None, entry
+            open_group = (keys[n - 1].as_py(), chunks[n - 1])
+            out = pa.Table.from_batches([batch])
+            out = out.append_column("anchor", pa.array(anchors, pa.int64(), mask=~known))
             out = out.append_column("is_anchor", pa.array(picked, pa.bool_()))
-            keep = pa.array([not s for s in seeds], pa.bool_())
-            yield from out.filter(keep).to_batches()
+            yield from (out.filter(pa.array(~seeds)) if seeds.any() else out).to_batches()
 
     return mark
 
