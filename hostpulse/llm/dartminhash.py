@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostpulse.llm.common import mix, pieces, spans_to_index, staged
@@ -20,7 +20,8 @@ BANDS, ROWS = 24, 4
 #: Pairs whose signatures agree in fewer coordinates than this share are not compared exactly: five standard deviations
 #: below the similarity asked for.
 LEAST_AGREEMENT = 0.55
-#: Buckets up to here have all pairs of different classes compared in the last round.
+#: Buckets with up to so many members outside their largest class have all pairs of different classes compared in the
+#: last round; fuller ones only after they were cut by a second band.
 SMALL_BUCKET = 24
 ROUNDS = 3
 
@@ -160,26 +161,48 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shape(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One member and the size of each class in a bucket; leader and largest class of the buckets with several."""
+    order = F.xxhash64(F.lit(turn), "band", "id")
+    of_class = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("o"), "id")).alias("m"))
+    mixed = of_class.groupBy("band").agg(
+        F.count(F.lit(1)).alias("classes"), F.min("m").alias("leader"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")
+    )
+    return of_class, mixed.where("classes > 1").withColumn("outside", F.col("size") - F.col("most.n"))
+
+
+def _ends(x: Column, y: Column) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _across(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Pairs of different classes: each member outside a bucket's largest class with all members of other classes."""
+    inside = members.join(mixed.select("band", F.col("most.label").alias("most")), "band")
+    outside = inside.where(F.col("label") != F.col("most")).select("band", F.col("id").alias("x"), F.col("label").alias("x_label"))
+    return outside.join(inside, "band").where(F.col("label") != F.col("x_label")).select(*_ends(F.col("x"), F.col("id")))
+
+
 def _pairs(members: DataFrame, turn: int, last: bool) -> DataFrame:
-    """Candidate pairs (a < b) of different classes, linear in the rows of each bucket.
+    """Candidate pairs (a < b) of different classes.
 
     Each class sends one member of a bucket, a different one each turn, and each is paired with the bucket's leader, whose
-    choice also turns.  In the last turn, members of small buckets are paired with all members of other classes.
+    choice also turns.  In the last turn all pairs of different classes follow: at once where few members are
+    outside the largest class, which is linear in the bucket's rows; else among the members that share a second
+    such bucket too.
     """
-    bucket = Window.partitionBy("band")
-    order = F.xxhash64(F.lit(turn), "band", "id")
-    of_class = members.groupBy("band", "label").agg(F.min(F.struct(order.alias("o"), "id")).alias("m"))
-    mixed = of_class.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.min("m").alias("leader")).where("classes > 1")
-    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = of_class.join(mixed, "band").where(F.col("m.id") != F.col("leader.id")).select(*ends(F.col("m.id"), F.col("leader.id")))
+    of_class, mixed = _shape(members, turn)
+    stars = of_class.join(mixed, "band").where(F.col("m.id") != F.col("leader.id")).select(*_ends(F.col("m.id"), F.col("leader.id")))
     if not last:
         return stars.distinct()
-    inside = members.join(mixed.select("band", "classes"), "band").withColumn("size", F.count(F.lit(1)).over(bucket))
-    small = inside.where(F.col("size") <= SMALL_BUCKET)
-    left = small.select("band", F.col("id").alias("a"), F.col("label").alias("a_label"))
-    right = small.select("band", F.col("id").alias("b"), F.col("label").alias("b_label"))
-    across = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")))
-    return stars.union(across.select("a", "b")).distinct()
+    mixed = staged(mixed, "mixed-buckets")
+    pairs = stars.union(_across(members, mixed.where(F.col("outside") <= SMALL_BUCKET)))
+    wide = staged(members.join(mixed.where(F.col("outside") > SMALL_BUCKET).select("band"), "band", "left_semi"), "wide-buckets")
+    if not wide.isEmpty():
+        other = wide.select("id", F.col("band").alias("second"))
+        both = wide.join(other, "id").where(F.col("band") < F.col("second"))
+        both = staged(both.select(F.xxhash64("band", "second").alias("band"), "id", "label"), "second-bands")
+        pairs = pairs.union(_across(both, _shape(both, turn)[1]))
+    return pairs.distinct()
 
 
 def _verified(pairs: DataFrame, marks: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
@@ -201,7 +224,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     that share an id, or have none).  Documents with equal
     shingles are one node from the start (named by a 64-bit hash), so copies make no pairs.  Candidates share a band of their DartMinHash
     signatures.  In every bucket each class is compared with a leader, not with all others; links merge classes, and
-    further turns with other leaders compare what is still apart.  Null and empty texts are classes of their own; null ids
+    further turns with other leaders compare what is still apart; the last turn compares all pairs that are left (``_pairs``).  Null and empty texts are classes of their own; null ids
     are told apart by their text, and their class is named by a smallest id if one has any, else null.
     Extra columns are ignored.
     """

@@ -208,7 +208,7 @@ def shingles(text):
     return collections.Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     rng = random.Random(5)
     base = prose(200, rng).split()
     rows = list(ROWS)
@@ -235,6 +235,10 @@ def test_near_duplicates(spark):
     want = {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}
     got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs(spark, rows)).collect()}
     assert got == want
+    with monkeypatch.context() as only_leaders_once:  # every bucket is cut by a second band
+        only_leaders_once.setattr(dartminhash, "SMALL_BUCKET", 0)
+        only_leaders_once.setattr(dartminhash, "ROUNDS", 1)
+        assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs(spark, rows)).collect()} == want
     kept = dartminhash.keep_one(docs(spark, rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert kept.columns == docs(spark, []).columns
