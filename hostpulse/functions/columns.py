@@ -63,6 +63,7 @@ def repeated_error_rule(message: Column) -> Column:
     return F.concat(F.lit("repeated-error-"), F.sha2(message, 256))
 
 
+# The forms of a repeated error's rule name and of a threshold alert's text.
 def percent_message(resource: Column, value: Column, threshold: Column) -> Column:
     return F.format_string("%s is %.1f%% (threshold %.1f%%)", resource, value, threshold)
 

@@ -277,6 +277,7 @@ def _repeat_signals() -> Column:
             F.lit("BREACH").alias("kind"),
             m["times"].cast("double").alias("value"),
             rule["threshold"].alias("threshold"),
+            # Fixed value: the form of a repeated error's text.
             F.concat(
                 m["text"], F.lit(" occurred "), m["times"].cast("string"), F.lit(" times")
             ).alias("message"),
@@ -359,6 +360,7 @@ def silence_signals(
     forgotten = F.col("gap") > F.lit(forget_hours * 3_600_000_000)
     silent = ~forgotten & (F.col("minutes") >= limit)
     kind = F.when(~rule["enabled"], "CLEAR").when(silent, "BREACH")
+    # Fixed value: the form of a silence alert's text.
     text = F.format_string("no events for %d minutes (threshold %d)", F.col("minutes"), limit)
     return (
         listed.withColumn("gap", gap)

@@ -4,29 +4,34 @@ from __future__ import annotations
 
 import re
 
+from hostpulse.operators import rules as R
 from hostpulse.plans import fixtures
 
 NOW = f"TIMESTAMP '{fixtures.NOW_TEXT}'"
 
 CTES = {"numbered": f"SELECT *, {fixtures.DUCK_K} AS k FROM events", **fixtures.TEXTS}
 
-CTES["rule_reasons"] = """
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CTES["rule_reasons"] = f"""
 SELECT *, CASE
-  WHEN rule_type NOT IN ('HIGH_CPU','HIGH_RAM','HIGH_DISK','REPEATED_ERROR','AGENT_SILENT') THEN
-    'rule_type must be one of HIGH_CPU, HIGH_RAM, HIGH_DISK, REPEATED_ERROR, AGENT_SILENT'
-  WHEN trim(host_id) = '' THEN 'host_id must not be blank; omit it for a fleet-wide rule'
-  WHEN length(host_id) > 128 THEN 'host_id must contain at most 128 characters'
-  WHEN host_id = '*' THEN 'host_id "*" is reserved for fleet-wide rules; omit host_id instead'
+  WHEN rule_type NOT IN ('HIGH_CPU','HIGH_RAM','HIGH_DISK','REPEATED_ERROR','AGENT_SILENT')
+    THEN {quoted(R.UNKNOWN_TYPE)}
+  WHEN trim(host_id) = '' THEN {quoted(R.BLANK_HOST)}
+  WHEN length(host_id) > 128 THEN {quoted(R.LONG_HOST)}
+  WHEN host_id = '*' THEN {quoted(R.RESERVED_HOST)}
   END AS scope_reason,
-  CASE WHEN isnan(threshold) THEN 'threshold must be a finite number'
+  CASE WHEN isnan(threshold) THEN {quoted(R.NOT_FINITE)}
   WHEN rule_type = 'AGENT_SILENT' AND (threshold <> floor(threshold) OR threshold < 1
-    OR threshold > 10080)
-    THEN 'an AGENT_SILENT threshold must be a whole number of minutes from 1 to 10080'
+    OR threshold > 10080) THEN {quoted(R.BAD_SILENCE)}
   WHEN rule_type = 'REPEATED_ERROR' AND (threshold <> floor(threshold) OR threshold < 1
-    OR threshold > 5) THEN 'a REPEATED_ERROR threshold must be a whole number from 1 to 5: the '
-    || 'rule sees only the last 5 events, so a larger threshold could never fire'
+    OR threshold > 5) THEN {quoted(R.BAD_REPEATS.format(5))}
   WHEN rule_type LIKE 'HIGH%' AND (threshold < 0 OR threshold > 100)
-    THEN 'a ' || rule_type || ' threshold must be a percentage between 0 and 100'
+    THEN replace({quoted(R.BAD_PERCENTAGE)}, '{{}}', rule_type)
   END AS threshold_reason
 FROM rule_requests
 """

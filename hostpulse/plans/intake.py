@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hostpulse.functions import token_hash
 from hostpulse.operators import ingest as I
 from hostpulse.plans import fixtures
-from hostpulse.plans.checks import check
+from hostpulse.plans.checks import check, quoted
 from hostpulse.plans.registry import query
 from hostpulse.sources import (
     append_deliveries,
@@ -26,20 +26,20 @@ from hostpulse.sources.tables import stages_folder
 WINDOW_MS, MAX_REQUESTS = 6 * 3_600_000, 3
 
 # What the JSON fault chosen by ``k`` must be refused with; the checks never parse JSON.
-_BODY_REASON = """
-CASE k WHEN 18 THEN 'too_large' WHEN 11 THEN 'invalid_json' WHEN 12 THEN 'invalid_json' END"""
-_REASON = f"""
-coalesce({_BODY_REASON}, CASE k
-  WHEN 1 THEN 'event_id must contain 1-128 characters'
-  WHEN 2 THEN 'level must be INFO, WARN, ERROR, or CRITICAL'
-  WHEN 3 THEN 'msg must contain 1-1000 characters' WHEN 4 THEN 'msg must contain 1-1000 characters'
-  WHEN 5 THEN 'timestamp must be an ISO-8601 value'
-  WHEN 6 THEN 'cpu_usage and ram_usage must be numbers between 0 and 100'
-  WHEN 7 THEN 'cpu_usage and ram_usage must be numbers between 0 and 100'
-  WHEN 8 THEN 'queue_depth must be a whole number of zero or more'
-  WHEN 16 THEN 'queue_depth must be a whole number of zero or more'
-  WHEN 9 THEN 'disk_usage must be a number between 0 and 100'
-  WHEN 10 THEN 'host_id must contain at most 128 characters' END)"""
+_FAULTS = {
+    1: I.BAD_EVENT_ID, 2: I.BAD_LEVEL, 3: I.BAD_MSG_LENGTH, 4: I.BAD_MSG_LENGTH, 5: I.BAD_TIMESTAMP,
+    6: I.BAD_CPU_RAM, 7: I.BAD_CPU_RAM, 8: I.BAD_QUEUE_DEPTH, 16: I.BAD_QUEUE_DEPTH, 9: I.BAD_DISK,
+    10: I.TOO_LONG.format("host_id"),
+}
+_BODY_FAULTS = {18: I.TOO_LARGE, 11: I.INVALID_JSON, 12: I.INVALID_JSON}
+
+
+def _by_fault(reasons: dict[int, str]) -> str:
+    return "CASE k " + " ".join(f"WHEN {k} THEN {quoted(reason)}" for k, reason in reasons.items()) + " END"
+
+
+_BODY_REASON = _by_fault(_BODY_FAULTS)
+_REASON = f"coalesce({_BODY_REASON}, {_by_fault(_FAULTS)})"
 _METHOD = """
 CASE WHEN s.token = 'fleet-shared-key' THEN 'shared_key' WHEN c.id IS NOT NULL THEN 'agent_token'
   ELSE 'unauthorized' END"""

@@ -56,15 +56,14 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
 def append_telemetry(events: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append accepted, new events, one folder per event date.
 
-    Rows are spread by date and a hash of the arrival number (a date alone would put a whole day
-    into one task) and sorted so that host and time predicates skip row groups.
+    Rows are gathered by date; adaptive execution cuts a large day into tasks of its advisory size and joins small
+    ones, so the files follow the data.  They are sorted so that host and time predicates skip row groups.
     """
     dated = events.withColumn("event_date", F.to_date("event_timestamp"))
     columns = [f.name for f in S.TELEMETRY.fields if f.name in events.columns]
-    spread = F.pmod(F.xxhash64("ingest_seq"), F.lit(16))
     (
         dated.select(*columns, "event_date")
-        .repartition("event_date", spread)
+        .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "host_id", "event_timestamp")
         .write.mode(mode)
         .partitionBy("event_date")

@@ -179,7 +179,9 @@ def process_batch(
 
 def _ingest(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
     spark, version = batch.sparkSession, fleet.version(batch_id)
-    checked = _accepted(fleet, spark, number_batch(batch, batch_id)).drop("j")
+    earlier = _state_before(spark, fleet, "state/received", version)
+    newest = None if earlier is None else earlier.agg(F.max("ingest_seq")).first()[0]
+    checked = _accepted(fleet, spark, number_batch(batch, -1 if newest is None else newest)).drop("j")
     work = fleet.path("work")
     raw = _write(checked, f"{work}/checked", version)
     rejected = f"{fleet.path('rejected')}/version={version}"
@@ -200,10 +202,9 @@ def _ingest(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
     deliveries = _write(flagged, f"{work}/deliveries", version)
 
     fresh = deliveries.where("is_new").drop("is_new")
-    spread = F.pmod(F.xxhash64("ingest_seq"), F.lit(16))
     ordered = (
         fresh.withColumn("event_date", F.to_date("event_timestamp"))
-        .repartition("event_date", spread)
+        .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "host_id", "event_timestamp")
     )
     target = f"{fleet.path('telemetry')}/version={version}"
@@ -221,9 +222,8 @@ def _ingest(fleet: Fleet, batch: DataFrame, batch_id: int) -> None:
         fleet.path("state/windows"),
         version,
     )
-    # the last number received, copies included: a sweep comes after it
-    seen = deliveries.agg(F.max("ingest_seq").alias("ingest_seq"))
-    earlier = _state_before(spark, fleet, "state/received", version)
+    # the last number received, copies and refusals included: sweeps and later batches come after it
+    seen = raw.agg(F.max("ingest_seq").alias("ingest_seq"))
     if earlier is not None:
         seen = seen.union(earlier.select("ingest_seq")).agg(F.max("ingest_seq").alias("ingest_seq"))
     _write(seen, fleet.path("state/received"), version)

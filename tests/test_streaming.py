@@ -14,6 +14,7 @@ from hostpulse.operators import detect, ingest, lifecycle
 from hostpulse.sources import read_raw_events, replay_queue
 from hostpulse import schemas as S
 from hostpulse.sources import prune_table
+from hostpulse.sources.raw import ROW_BITS, SUBMISSION_COLUMNS, number_batch
 from hostpulse.streaming import Fleet, start_fleet, stream_new_events, sweep_once
 
 
@@ -266,3 +267,17 @@ def test_retention_on_the_streams_table(spark, tmp_path):
     gone = prune_table(spark, fleet.path("telemetry"), schema=S.TELEMETRY, time_col="event_timestamp", now=now, days=3)
     assert gone == 13
     assert sorted(r["event_id"] for r in fleet.telemetry(spark).select("event_id").collect()) == sorted(f"e{i}" for i in range(13, 20))
+
+
+def test_numbers_follow_whatever_came_before(spark):
+    """A batch is numbered above the last number received, however many batches there were."""
+    rows = [("x", None, f, start) for f, start in [("/q/b", 0), ("/q/a", 0), ("/q/a", 7)]]
+    schema = "value string, received_at timestamp, file string, split_start long"
+    unset = [F.lit(None).cast("string").alias(name) for name in SUBMISSION_COLUMNS]
+    batch = spark.createDataFrame(rows, schema).coalesce(1).select("*", *unset)
+    blocks = 1 << 37  # more than five million batches of 20,000 splits each
+    for after in (-1, 5, (blocks << ROW_BITS) + 17):
+        numbers = [r["ingest_seq"] for r in number_batch(batch, after).orderBy("ingest_seq").collect()]
+        assert len(set(numbers)) == 3 and numbers[0] > after
+    with pytest.raises(Exception, match="does not fit"):
+        number_batch(batch, (1 << 63) - 1).collect()
