@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import mix, pieces, spans_to_index, staged
+from hostpulse.llm.common import flat, mix, pieces, spans_to_index, staged
 from hostpulse.llm.components import components
 from hostpulse.llm.shingles import Shingler
 
@@ -21,8 +21,10 @@ BANDS, ROWS = 24, 4
 #: below the similarity asked for.
 LEAST_AGREEMENT = 0.55
 #: Buckets with up to so many members outside their largest class have all pairs of different classes compared in the
-#: last round; fuller ones only after they were cut by a second band.
+#: last round; texts of fuller ones only where they share a rare element.
 SMALL_BUCKET = 24
+#: Counters of how often elements occur: 2 to this power.
+SLOT_BITS = 18
 ROUNDS = 3
 
 #: Cumulated Poisson(1) probabilities: how many darts a unit cell has.
@@ -162,11 +164,16 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shape(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """One member and the size of each class in a bucket; leader and largest class of the buckets with several."""
-    order = F.xxhash64(F.lit(turn), "band", "id")
-    of_class = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("o"), "id")).alias("m"))
+    """One member and the size of each class in a bucket; leader and largest class of the buckets with several.
+
+    In the first turn the members that meet most others in all their buckets go first: the text that many were copied
+    from shares more bands with each of them than they do with each other.  Later it is one of the largest class.
+    """
+    order = F.struct((F.lit(0) if turn else -F.col("met")).cast("long").alias("met"), F.xxhash64(F.lit(turn), "band", "id").alias("o"), "id")
+    of_class = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m"))
+    leader = F.max_by("m", F.struct("n", "label")) if turn else F.min("m")
     mixed = of_class.groupBy("band").agg(
-        F.count(F.lit(1)).alias("classes"), F.min("m").alias("leader"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")
+        F.count(F.lit(1)).alias("classes"), leader.alias("leader"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")
     )
     return of_class, mixed.where("classes > 1").withColumn("outside", F.col("size") - F.col("most.n"))
 
@@ -175,20 +182,83 @@ def _ends(x: Column, y: Column) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _across(members: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Pairs of different classes: each member outside a bucket's largest class with all members of other classes."""
+def _across(members: DataFrame, mixed: DataFrame, fits: Column | None = None) -> DataFrame:
+    """Pairs of different classes: each member outside a bucket's largest class with all members of other classes.
+
+    ``fits`` is a further condition on the columns of both; those of the member outside are named ``x_...``.
+    """
     inside = members.join(mixed.select("band", F.col("most.label").alias("most")), "band")
-    outside = inside.where(F.col("label") != F.col("most")).select("band", F.col("id").alias("x"), F.col("label").alias("x_label"))
-    return outside.join(inside, "band").where(F.col("label") != F.col("x_label")).select(*_ends(F.col("x"), F.col("id")))
+    outside = inside.where(F.col("label") != F.col("most")).select(*(F.col(c).alias(f"x_{c}") for c in members.columns))
+    apart = (F.col("band") == F.col("x_band")) & (F.col("label") != F.col("x_label"))
+    return outside.join(inside, apart if fits is None else apart & fits).select(*_ends(F.col("x_id"), F.col("id")))
+
+
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _elements(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of all texts of a batch and how many each has."""
+    body, offsets = flat(batch.column("elements"))
+    return np.ascontiguousarray(body).view(np.uint32), np.diff(offsets) // 4
 
 
-def _pairs(members: DataFrame, turn: int, last: bool) -> DataFrame:
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_slots(_elements(batch)[0]), minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+
+def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
+    """Per text (``id``, ``label``, ``elements``) its rarest elements as buckets, their place in the text's order, its size.
+
+    All texts order their elements alike, by how often the element's slot occurs (a table of fixed size) and then by value.  Two
+    texts of at least this similarity share one of the first n - ceil(similarity x n) + 1, whatever the order is.
+    """
+    slots = texts.select("elements").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    often = np.zeros(1 << SLOT_BITS, np.int64)
+    for row in slots.collect():  # at most 2**SLOT_BITS rows, whatever the data
+        often[row["slot"]] = row["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            elements, count = _elements(batch)
+            owner = np.repeat(np.arange(batch.num_rows), count)
+            order = np.lexsort((elements, often[_slots(elements)], owner))
+            place = np.arange(len(elements)) - np.repeat(np.cumsum(count) - count, count)
+            first = place < (count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1)[owner]
+            chosen = owner[first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(elements[order][first].astype(np.int64)),
+                    *(batch.column(c).take(pa.array(chosen)) for c in ("id", "label")),
+                    pa.array(place[first]),
+                    pa.array(count[chosen]),
+                ],
+                names=["band", "id", "label", "place", "size"],
+            )
+
+    found = texts.mapInArrow(run, "band long, id long, label long, place long, size long")
+    return found.withColumn("met", F.lit(0).cast("long"))
+
+
+def _may_reach(similarity: float) -> Column:
+    """Whether two texts whose first shared element has these places can share enough of what is left."""
+    left = F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place"))
+    return left + F.lit(1e-6) >= (F.col("size") + F.col("x_size")) * F.lit(similarity / (1 + similarity))
+
+
+def _pairs(members: DataFrame, nodes: DataFrame, turn: int, last: bool, similarity: float) -> DataFrame:
     """Candidate pairs (a < b) of different classes.
 
     Each class sends one member of a bucket, a different one each turn, and each is paired with the bucket's leader, whose
-    choice also turns.  In the last turn all pairs of different classes follow: at once where few members are
-    outside the largest class, which is linear in the bucket's rows; else among the members that share a second
-    such bucket too.
+    choice also turns.  In the last turn all pairs of different classes follow where few members are outside a
+    bucket's largest class, which is linear in the bucket's rows.  Texts of fuller buckets are paired where they share one
+    of their rarest elements early enough: all similar ones do, whereas those that share a common passage alone do not.
     """
     of_class, mixed = _shape(members, turn)
     stars = of_class.join(mixed, "band").where(F.col("m.id") != F.col("leader.id")).select(*_ends(F.col("m.id"), F.col("leader.id")))
@@ -196,12 +266,11 @@ def _pairs(members: DataFrame, turn: int, last: bool) -> DataFrame:
         return stars.distinct()
     mixed = staged(mixed, "mixed-buckets")
     pairs = stars.union(_across(members, mixed.where(F.col("outside") <= SMALL_BUCKET)))
-    wide = staged(members.join(mixed.where(F.col("outside") > SMALL_BUCKET).select("band"), "band", "left_semi"), "wide-buckets")
-    if not wide.isEmpty():
-        other = wide.select("id", F.col("band").alias("second"))
-        both = wide.join(other, "id").where(F.col("band") < F.col("second"))
-        both = staged(both.select(F.xxhash64("band", "second").alias("band"), "id", "label"), "second-bands")
-        pairs = pairs.union(_across(both, _shape(both, turn)[1]))
+    wide = members.join(mixed.where(F.col("outside") > SMALL_BUCKET).select("band"), "band", "left_semi").select("id", "label").distinct()
+    texts = staged(nodes.select("id", "elements").join(wide, "id"), "wide-texts")
+    if not texts.isEmpty():
+        rare = staged(_rare_elements(texts, similarity), "rare-elements")
+        pairs = pairs.union(_across(rare, _shape(rare, turn)[1], _may_reach(similarity)))
     return pairs.distinct()
 
 
@@ -238,8 +307,9 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     )
     with_words = sketched.where(F.length("elements") > 0)
     bands = with_words.select("id", F.posexplode("bands").alias("n", "value")).select(F.xxhash64("n", "value").alias("band"), "id").distinct()
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    buckets = staged(bands.join(shared, "band"), "buckets")
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = F.sum("c").over(Window.partitionBy("id")).alias("met")
+    buckets = staged(bands.join(shared, "band").select("band", "id", met), "buckets")
     # one row of each node that shares a bucket, with what comparing needs
     head = with_words.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
         F.min("doc_id").alias("h_doc"), F.min("text_hash").alias("h_any")
@@ -250,7 +320,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     members = buckets.withColumn("label", F.col("id"))
     links, labels = None, None
     for turn in range(ROUNDS):
-        pairs = _pairs(members, turn, turn == ROUNDS - 1)
+        pairs = _pairs(members, nodes, turn, turn == ROUNDS - 1, similarity)
         found = _verified(pairs, nodes.select("id", "marks"), nodes.select("id", "elements"), similarity).select("a", "b")
         if turn and found.isEmpty():
             if turn < ROUNDS - 1:
@@ -259,7 +329,7 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         links = found if links is None else links.union(found)
         labels = components(links)
         members = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        members = staged(members.select("band", "id", "label"), "members")
+        members = staged(members.select("band", "id", "label", "met"), "members")
     rows = sketched.select("doc_id", "text_hash", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.select("doc_id", "text_hash", F.coalesce("label", "id").alias("label"))
     smallest = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))

@@ -235,7 +235,7 @@ def test_near_duplicates(spark, monkeypatch):
     want = {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}
     got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs(spark, rows)).collect()}
     assert got == want
-    with monkeypatch.context() as only_leaders_once:  # every bucket is cut by a second band
+    with monkeypatch.context() as only_leaders_once:  # the rest is found by rare elements
         only_leaders_once.setattr(dartminhash, "SMALL_BUCKET", 0)
         only_leaders_once.setattr(dartminhash, "ROUNDS", 1)
         assert {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs(spark, rows)).collect()} == want
