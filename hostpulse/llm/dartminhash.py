@@ -211,33 +211,63 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
 
+def _first_elements(batch: pa.RecordBatch, often: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """The first elements of every text in the common order: value, slot, text, place, size of the text."""
+    elements, count = _elements(batch)
+    slot = _slots(elements)
+    owner = np.repeat(np.arange(batch.num_rows), count)
+    order = np.lexsort((elements, often[slot], owner))
+    place = np.arange(len(elements)) - np.repeat(np.cumsum(count) - count, count)
+    first = np.flatnonzero(place < (count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1)[owner])
+    return elements[order][first], slot[order][first], owner[first], place[first], count[owner[first]]
+
+
 def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
     """Per text (``id``, ``label``, ``elements``) its rarest elements as buckets, their place in the text's order, its size.
 
     All texts order their elements alike, by how often the element's slot occurs (a table of fixed size) and then by value.  Two
-    texts of at least this similarity share one of the first n - ceil(similarity x n) + 1, whatever the order is.
+    texts of at least this similarity share one of the first n - ceil(similarity x n) + 1, whatever the order is.  Of
+    these only those go out whose slot has texts of several classes and that come early enough for the shortest text there.
     """
-    slots = texts.select("elements").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    often = np.zeros(1 << SLOT_BITS, np.int64)
-    for row in slots.collect():  # at most 2**SLOT_BITS rows, whatever the data
+    context, slots = texts.sparkSession.sparkContext, 1 << SLOT_BITS
+    counted = texts.select("elements").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    often = np.zeros(slots, np.int64)
+    for row in counted.collect():  # at most one row per slot, whatever the data
         often[row["slot"]] = row["n"]
-    shared = texts.sparkSession.sparkContext.broadcast(often)
+    order = context.broadcast(often)
+    share = similarity / (1 + similarity)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = np.iinfo(np.int64).max
+        low, high, short = np.full(slots, big), np.full(slots, -big), np.full(slots, big)
+        for batch in batches:
+            _, slot, owner, _, size = _first_elements(batch, order.value, similarity)
+            label = batch.column("label").to_numpy()[owner]
+            np.minimum.at(low, slot, label)
+            np.maximum.at(high, slot, label)
+            np.minimum.at(short, slot, size)
+        used = np.flatnonzero(short < big)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, low[used], high[used], short[used])], names=["slot", "low", "high", "short"])
+
+    met = texts.mapInArrow(survey, "slot long, low long, high long, short long").groupBy("slot")
+    shared = met.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("short").alias("short")).where("low < high")
+    shortest = np.full(slots, -1)
+    for row in shared.collect():  # at most one row per slot
+        shortest[row["slot"]] = row["short"]
+    partner = context.broadcast(shortest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
         for batch in batches:
-            elements, count = _elements(batch)
-            owner = np.repeat(np.arange(batch.num_rows), count)
-            order = np.lexsort((elements, often[_slots(elements)], owner))
-            place = np.arange(len(elements)) - np.repeat(np.cumsum(count) - count, count)
-            first = place < (count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1)[owner]
-            chosen = owner[first]
+            element, slot, owner, place, size = _first_elements(batch, order.value, similarity)
+            other = partner.value[slot]
+            use = (other >= 0) & (size - place + 1e-6 >= (size + other) * share)
+            chosen = pa.array(owner[use])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(elements[order][first].astype(np.int64)),
-                    *(batch.column(c).take(pa.array(chosen)) for c in ("id", "label")),
-                    pa.array(place[first]),
-                    pa.array(count[chosen]),
+                    pa.array(element[use].astype(np.int64)),
+                    *(batch.column(c).take(chosen) for c in ("id", "label")),
+                    pa.array(place[use]),
+                    pa.array(size[use]),
                 ],
                 names=["band", "id", "label", "place", "size"],
             )
