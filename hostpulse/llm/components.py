@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostpulse.llm.common import staged
 
-MOST_ROUNDS = 60
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the component's smallest node) for links ``a`` - ``b``; self-links and repeats are fine.
 
-    Each round gives every node the smallest label among its neighbours' (partial minima, so a hub is no
-    burden), then follows the label's own label.  Labels only fall, and rounds end when none changes.  Every round is a table
-    in the shared folder, so lineage does not grow.
+    Each round ranks the nodes anew by a hash, gives every node the first of itself and its neighbours (partial minima,
+    so a hub is no burden), and contracts: links are moved to what their ends were given, and those within one node go.
+    A round is expected to leave at most three quarters of the nodes that still have links (half of a chain's), whatever
+    the diameter, and always fewer than before, so rounds need no cap.  The rounds' maps shrink alike; they are followed
+    from the last to the first.  Every step is a table in the shared folder, so lineage does not grow.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = staged(both, "edges")
-    labels = staged(edges.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("node"), F.least("a", "n").alias("label")), "labels")
-    for _ in range(MOST_ROUNDS):
-        named = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        nearer = labels.join(named, labels["node"] == named["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        moved = nearer.join(jump, nearer["label"] == jump["via"]).select("node", "old", F.least("label", "far").alias("label"))
-        done = staged(moved, "labels")
-        labels = done.select("node", "label")
-        if done.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
+    edges = staged(_pairs(links, "a", "b"), "edges")
+    steps: list[DataFrame] = []
+    while not steps or not edges.isEmpty():
+
+        def rank(node: str, turn: int = len(steps)) -> Column:
+            return F.xxhash64(node, F.lit(turn))  # one-to-one for whole numbers of one type, so there are no ties
+
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("near"))
+        step = staged(near.select(F.col("a").alias("node"), F.when(rank("near") < rank("a"), F.col("near")).otherwise(F.col("a")).alias("label")), "steps")
+        ends = [step.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("a", "b")]
+        moved = edges.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("a_label <> b_label")
+        edges = staged(_pairs(moved, "a_label", "b_label"), "edges")
+        steps.append(step)
+    labels = steps.pop()
+    while steps:
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = staged(steps.pop().join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+    smallest = staged(labels.groupBy("label").agg(F.min("node").alias("least")), "smallest")
+    return staged(labels.join(smallest, "label").select("node", F.col("least").alias("label")), "labels")

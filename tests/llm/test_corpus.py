@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from hostpulse.llm import bpe, dartminhash, decontaminate, postings, quality, secrets, sharding, simple8b, substrings, warc
 from hostpulse.llm.common import flat, pieces
+from hostpulse.llm.components import components
 from hostpulse.llm.queries import TOKENIZER
 from hostpulse.llm.words import Splitter, WordIds, library_encoder
 
@@ -247,6 +248,30 @@ def test_near_duplicates(spark, monkeypatch):
     assert dartminhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_chain_of_near_copies(spark):
+    """The first and the last of 2,000 texts are linked only through all others."""
+    rng = random.Random(17)
+    words = prose(2000 * 8 + 100, rng).split()
+    ids = rng.sample(range(10**6), 2000)
+    rows = [(i, " ".join(words[8 * n : 8 * n + 100])) for n, i in enumerate(ids)]
+    far = (-1, prose(50, rng))
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs(spark, [*rows, far])).collect()}
+    assert got == {-1: -1} | dict.fromkeys(ids, min(ids))
+
+
+def test_components(spark):
+    rng = random.Random(23)
+    nodes = rng.sample(range(-(10**9), 10**9), 3000)
+    chain, star, ring = nodes[:2000], nodes[2000:2500], nodes[2500:2900]
+    links = [*zip(chain, chain[1:]), *((star[0], x) for x in star), *zip(ring, ring[1:] + ring[:1])]
+    links += [(b, a) for a, b in links[::3]] + links[::5] + [(x, x) for x in nodes[2900:2910]]
+    want = {x: min(part) for part in (chain, star, ring) for x in part} | {x: x for x in nodes[2900:2910]}
+    got = components(spark.createDataFrame(rng.sample(links, len(links)), "a long, b long")).collect()
+    assert len(got) == len(want)
+    assert {r["node"]: r["label"] for r in got} == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     item = prose(40, rng).replace("ß", "s").split()  # upper case of that letter is two letters
