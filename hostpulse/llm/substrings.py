@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,9 @@ SLICE_BYTES = 128 << 10
 MOST_BUCKETS = 1 << 16
 #: Grams per chunk from which splitters are taken, and how many splitter samples the driver takes at most.
 SAMPLE_PER_CHUNK, MOST_SAMPLES = 400, 1 << 20
+#: Contexts (counted once per chunk) from which a gram is crowded, how many of them its estimate is taken from, and the
+#: contexts whose windows are hashed at once.
+MOST_CONTEXTS, SAMPLED_CONTEXTS, WINDOWED_CONTEXTS = 1 << 16, 1 << 8, 1 << 13
 #: Segments up to here are finished by one sort.
 SMALL_SEGMENT = 1 << 12
 NO_ID = np.iinfo(np.int64).max
@@ -213,7 +217,80 @@ def _chunk_rows(path: str, length: int, gram: int, rows: pa.RecordBatch) -> Iter
         yield name, Chunk(store, f"{folder}/{name}", length, gram)
 
 
-def census(manifest: DataFrame, path: str, bounds: np.ndarray, length: int, gram: int) -> DataFrame:
+def crowded_grams(manifest: DataFrame, path: str, most_contexts: int, length: int, gram: int) -> np.ndarray:
+    """Hashes of the grams with ``most_contexts`` contexts or more, each counted once per chunk.
+
+    The counts are estimated from every n-th context (all, where few are enough).  What a gram is taken for decides where
+    its contexts are compared, not the result.  There are at most as many as all contexts by ``most_contexts``.
+    """
+    one_in = max(1, most_contexts // SAMPLED_CONTEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, chunk in _chunk_rows(path, length, gram, batch):
+                head, _, _ = chunk.contexts()
+                f = chunk.found
+                draw = mix(f.context[head] + np.uint64(zlib.crc32(name.encode())))
+                grams, counts = np.unique(f.gram[head[draw % np.uint64(one_in) == 0]].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+
+    counts = manifest.select("chunk").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") * one_in >= most_contexts).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
+
+
+def _buckets(chunk: Chunk, head: np.ndarray, bounds: np.ndarray, gram: int, crowded: np.ndarray) -> np.ndarray:
+    """The bucket of each context; those of crowded grams get a number behind the last one and are sent to none."""
+    bucket = np.searchsorted(bounds, _grams(chunk.body, chunk.found.place[head], gram), side="right")
+    bucket[np.isin(chunk.found.gram[head], crowded)] = len(bounds) + 1
+    return bucket
+
+
+def _windows(chunk: Chunk, head: np.ndarray, crowded: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of the contexts of crowded grams, some contexts at a time: context number, bytes before the gram, and a
+    key of two hashes (of the window, and of its gram with those bytes' number)."""
+    f = chunk.found
+    which = np.flatnonzero(np.isin(f.gram[head], crowded))
+    for i in range(0, len(which), WINDOWED_CONTEXTS):
+        some = which[i : i + WINDOWED_CONTEXTS]
+        at = head[some]
+        count = f.last[at] - f.first[at] + 1
+        size = count + length - 1
+        start = np.cumsum(size) - size
+        hashes = SpanHash(_BYTES[chunk.body[spans_to_index(f.first[at], size)]]).fixed(length)
+        window = spans_to_index(start, count)
+        before = np.repeat(start + f.place[at] - f.first[at], count) - window
+        grams = (np.repeat(f.gram[at], count) << np.uint64(5)) | before.astype(np.uint64)
+        yield np.repeat(some, count), before, np.column_stack([hashes[window], grams])
+
+
+def crowded_windows(manifest: DataFrame, path: str, crowded: np.ndarray, length: int, gram: int) -> DataFrame:
+    """Per chunk the windows of crowded grams' contexts with the smallest and the largest document (by contexts' smallest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, chunk in _chunk_rows(path, length, gram, batch):
+                head, ids, _ = chunk.contexts()
+                for context, _, keys in _windows(chunk, head, crowded, length):
+                    document = ids[context]
+                    order = np.lexsort((document, keys[:, 1], keys[:, 0]))
+                    keys, document = keys[order], document[order]
+                    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+                    raw = pa.py_buffer(np.ascontiguousarray(keys[first]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name] * len(first)),
+                            pa.Array.from_buffers(pa.binary(16), len(first), [None, raw]).cast(pa.binary()),
+                            pa.array(document[first]),
+                            pa.array(document[np.append(first[1:], len(document)) - 1]),
+                        ],
+                        names=["chunk", "window", "least", "most"],
+                    )
+
+    return manifest.select("chunk").mapInArrow(run, "chunk string, window binary, least long, most long")
+
+
+def census(manifest: DataFrame, path: str, bounds: np.ndarray, crowded: np.ndarray, length: int, gram: int) -> DataFrame:
     """Per chunk and bucket the chunk's distinct contexts there, packed: gram (40 bits), context (64 bits) and, by
     document, how many contexts have it as their smallest."""
 
@@ -222,7 +299,7 @@ def census(manifest: DataFrame, path: str, bounds: np.ndarray, length: int, gram
             for name, chunk in _chunk_rows(path, length, gram, batch):
                 head, ids, _ = chunk.contexts()
                 f = chunk.found
-                bucket = np.searchsorted(bounds, _grams(chunk.body, f.place[head], gram), side="right")
+                bucket = _buckets(chunk, head, bounds, gram, crowded)
                 order = np.lexsort((ids, bucket))
                 edges = np.searchsorted(bucket[order], np.arange(len(bounds) + 2))
                 for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -276,10 +353,12 @@ def _judge(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _verdicts(chunk: Chunk, bounds: np.ndarray, gram: int, rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _verdicts(
+    chunk: Chunk, bounds: np.ndarray, gram: int, crowded: np.ndarray, rows: list[tuple[int, bytes]]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The chunk's contexts with their verdicts, in the same order in which the census packed them."""
     head, ids, number = chunk.contexts()
-    bucket = np.searchsorted(bounds, _grams(chunk.body, chunk.found.place[head], gram), side="right")
+    bucket = _buckets(chunk, head, bounds, gram, crowded)
     order = np.lexsort((ids, bucket))
     edges = np.searchsorted(bucket[order], np.arange(len(bounds) + 2))
     verdict = np.zeros(len(head), np.uint8)
@@ -414,6 +493,7 @@ def remove_repeats(
     gram: int = GRAM,
     chunk_bytes: int = CHUNK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
+    most_contexts: int = MOST_CONTEXTS,
 ) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
@@ -426,7 +506,8 @@ def remove_repeats(
     gram share a bucket, so none has to be compared across a boundary.  A context that stands in a smaller document elsewhere
     is covered whole.  3. Contexts that share a gram with others, and only from the chunk that has them first, are sent as
     bytes; their bucket sorts the suffixes and compares neighbours.  4. Each chunk removes what it was told.
-    However many documents share a passage, a chunk sends it once.
+    However many documents share a passage, a chunk sends it once.  A gram with ``most_contexts`` contexts or more would
+    fill one bucket: its contexts go to none, but hashes of their windows are grouped, with the smallest document of each.
     """
     if not 0 < length - gram < 32:
         raise ValueError("a window must be longer than a gram, by less than 32 bytes")
@@ -438,7 +519,8 @@ def remove_repeats(
     chunks = max(1, total[1])
     bounds = splitters(manifest, min(MOST_BUCKETS, splits(total[0], bucket_bytes)), gram)
     spread = manifest.select("chunk").repartition(min(chunks, 1 << 16), "chunk")
-    packed = census(spread, path, bounds, length, gram)
+    crowded = crowded_grams(spread, path, most_contexts, length, gram)
+    packed = census(spread, path, bounds, crowded, length, gram)
     verdicts = staged(packed.groupBy("bucket").applyInPandas(_judge, "bucket int, chunk string, verdicts binary"), "verdicts")
 
     def told(chunk: pa.Table) -> list[tuple[int, bytes]]:
@@ -449,7 +531,7 @@ def remove_repeats(
     def send(key: tuple, chunk_rows: pa.Table, verdict_rows: pa.Table) -> pa.Table:
         out = {"bucket": [], "chunk": [], "where": [], "body": []}
         for name, chunk in _chunk_rows(path, length, gram, chunk_rows):
-            head, ids, _, bucket, verdict = _verdicts(chunk, bounds, gram, told(verdict_rows))
+            head, ids, _, bucket, verdict = _verdicts(chunk, bounds, gram, crowded, told(verdict_rows))
             mine = np.flatnonzero(verdict == COMPARE)
             mine = mine[np.argsort(bucket[mine], kind="stable")]
             edges = np.searchsorted(bucket[mine], np.arange(len(bounds) + 2))
@@ -466,22 +548,35 @@ def remove_repeats(
 
     sent = names.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, "bucket int, chunk string, where binary, body binary")
     masks = staged(sent.groupBy("bucket").applyInPandas(_compare_of(length, gram), "chunk string, masks binary"), "masks")
-    answers = verdicts.select("chunk", "bucket", "verdicts", F.lit(None).cast("binary").alias("masks")).union(
-        masks.select("chunk", F.lit(None).cast("int"), F.lit(None).cast("binary"), "masks")
-    )
+    answers = verdicts.unionByName(masks, allowMissingColumns=True)
+    if len(crowded):
+        windows = staged(crowded_windows(spread, path, crowded, length, gram), "crowded-windows")
+        spans = windows.groupBy("window").agg(F.min("least").alias("smallest"), F.max("most").alias("largest"))
+        smallest = staged(spans.where("smallest < largest").select("window", "smallest"), "smallest-documents")
+        found = windows.join(smallest, "window").where("smallest < most").select("chunk", "window", "smallest")
+        answers = answers.unionByName(found, allowMissingColumns=True)
 
     def cut(key: tuple, chunk_rows: pa.Table, answer_rows: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.int64()))])
         tables = [pa.table({c: [] for c in schema.names}, schema=schema)]
         for _, chunk in _chunk_rows(path, length, gram, chunk_rows):
             said = [(b, v) for b, v in told(answer_rows) if v is not None]
-            head, ids, number, _, verdict = _verdicts(chunk, bounds, gram, said)
+            head, ids, number, _, verdict = _verdicts(chunk, bounds, gram, crowded, said)
             bits = np.zeros(len(head), np.uint32)
             for raw in answer_rows.column("masks").to_pylist():
                 if raw is not None:
                     which, mask = _unpack(raw, "<i4", "<u4")
                     bits[which] |= mask
             f = chunk.found
+            if len(crowded):
+                windows = answer_rows.select(["window", "smallest"]).drop_null()
+                known, at = np.unique(np.array(windows.column("window").to_pylist(), "S16"), return_index=True)
+                smallest = windows.column("smallest").to_numpy()[at]
+                for context, before, keys in _windows(chunk, head, crowded, length) if len(known) else ():
+                    key = np.ascontiguousarray(keys).view("S16").reshape(-1)
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    hit = (known[at] == key) & (smallest[at] < ids[context])
+                    np.bitwise_or.at(bits, context[hit], np.uint32(1) << before[hit].astype(np.uint32))
             whole = (verdict[number] == COVERED) | (chunk.ids[f.document] > ids[number])
             some = np.flatnonzero(whole)
             covered = [spans_to_index(f.first[some], f.last[some] - f.first[some] + 1)]

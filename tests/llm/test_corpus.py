@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -162,6 +163,46 @@ def test_repeated_substrings(spark, sizes):
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 16])
+def test_lines_with_many_surroundings(spark, monkeypatch, most):
+    """A short and a long line in 300 documents, different text around: no bucket gets all contexts of their grams."""
+    rng = random.Random(29)
+    short, long = prose(7, rng)[:30], prose(40, rng)
+    around = [prose(6, rng) for _ in range(12)]
+    rows = [(i, f"{rng.choice(around)}{prose(3, rng)}{short}{prose(3, rng)}{long}{rng.choice(around)}") for i in rng.sample(range(10**6), 300)]
+    rows += [*ROWS, (None, rows[0][1]), (rows[1][0], "x" + rows[1][1])]
+    judged = {}
+
+    def spy(df, name, real=substrings.staged):
+        judged[name] = real(df, name)
+        return judged[name]
+
+    monkeypatch.setattr(substrings, "staged", spy)
+    got = collections.defaultdict(list)
+    for r in substrings.remove_repeats(docs(spark, rows), chunk_bytes=3000, bucket_bytes=3000, most_contexts=most).collect():
+        got[r["doc_id"], r["n_bytes"]].append((bytes(r["kept"]), list(r["spans"])))
+    order = lambda i: 1 << 60 if i is None else i
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        for s in range(len(raw) - 49):
+            first[raw[s : s + 50]] = min(first.get(raw[s : s + 50], 1 << 61), order(i))
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 49):
+            if first[raw[s : s + 50]] < order(i):
+                gone[s : s + 50] = b"\1" * 50
+        spans = [x for m in re.finditer(b"\1+", bytes(gone)) for x in m.span()]
+        want[i, len(raw)].append((bytes(b for b, g in zip(raw, gone) if not g), spans))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    sizes = collections.Counter()
+    for r in judged["verdicts"].collect():
+        sizes[r["bucket"]] += zstandard.ZstdDecompressor().decompress(r["verdicts"]).count(substrings.COMPARE)
+    assert max(sizes.values(), default=0) < 100
+
+
 def test_multikey_sort(monkeypatch):
     monkeypatch.setattr(substrings, "SMALL_SEGMENT", 4)
     rng = np.random.default_rng(3)
