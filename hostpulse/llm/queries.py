@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import bpe, dartminhash, decontaminate, postings, quality, secrets, sharding, simple8b, substrings, warc
+from hostpulse.llm import bpe, dartminhash, decontaminate, filter_audit, postings, quality, secrets, sharding, simple8b, substrings, warc
 from hostpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,55 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.expr("CAST(size(spans) DIV 2 AS BIGINT)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_register
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all 120 orders, per source."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+CHECKS["op13_filter_audit"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+    FROM documents
+), l AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+), f AS (
+    SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           concat(CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END,
+                  CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END,
+                  CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END,
+                  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+                  CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+    FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+), m AS (
+    SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), x(c) AS (
+    VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), o AS (
+    SELECT concat(a.c, b.c, e.c, g.c, h.c) AS filter_order
+    FROM x a, x b, x e, x g, x h
+    WHERE a.c <> b.c AND a.c <> e.c AND a.c <> g.c AND a.c <> h.c AND b.c <> e.c AND b.c <> g.c AND b.c <> h.c
+      AND e.c <> g.c AND e.c <> h.c AND g.c <> h.c
+), w AS (
+    SELECT m.*, filter_order, coalesce(list_min(list_transform(string_split(fails, ''), lambda c: CASE WHEN c = '' THEN 9 ELSE strpos(filter_order, c) END)), 9) AS goes
+    FROM m, o
+), s AS (
+    SELECT part, filter_order, CAST(step AS INT) AS step, substr(filter_order, CAST(step AS INT), 1) AS c,
+           sum(CASE WHEN goes > step THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN goes = step THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN goes < step AND contains(fails, substr(filter_order, CAST(step AS INT), 1)) THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN fails = substr(filter_order, CAST(step AS INT), 1) THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN goes = step THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN goes = step THEN toxic ELSE 0 END) AS toxic_lost
+    FROM w, range(1, 6) r(step) GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
+FROM s
+"""
