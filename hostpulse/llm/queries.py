@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import bpe, dartminhash, decontaminate, filter_audit, postings, quality, secrets, sharding, simple8b, substrings, warc
+from hostpulse.llm import bpe, dartminhash, decontaminate, filter_audit, langid, postings, quality, secrets, sharding, simple8b, substrings, warc
 from hostpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,14 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley
 FROM s
 """
+
+
+@_register
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by the spans that its words are labelled with."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs, usable=training_row())
+    labelled = langid.label_languages(docs.select("doc_id", "text"), model)
+    return labelled.select(
+        "doc_id", (~training_row()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans")
+    )
