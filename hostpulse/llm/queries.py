@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm import bpe, dartminhash, decontaminate, filter_audit, langid, postings, quality, secrets, sharding, simple8b, substrings, warc
+from hostpulse.llm import bpe, dartminhash, decontaminate, filter_audit, langid, lexical, postings, quality, secrets, sharding, simple8b, substrings, warc
 from hostpulse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,42 @@ def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select(
         "doc_id", (~training_row()).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").alias("n_spans")
     )
+
+
+@_register
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+CHECKS["op12_lexical"] = r"""
+WITH t AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents WHERE text IS NOT NULL
+), q AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+), f AS (
+    SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term
+), d AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id
+), c AS (
+    SELECT count(*)::BIGINT AS N, sum(n)::BIGINT AS L FROM d
+), w AS (
+    SELECT term, CAST(floor(1000 * ln((2 * c.N + 2)::DOUBLE / (2 * x.df + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM f GROUP BY term) x, c
+), m AS (
+    SELECT doc_id, 100 - 90 + ((90 * d.n * c.N) // c.L) AS m FROM d, c
+), s AS (
+    SELECT item_id, f.doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * m.m)))::BIGINT AS score
+    FROM q JOIN f USING (term) JOIN w USING (term) JOIN m ON f.doc_id = m.doc_id GROUP BY item_id, f.doc_id
+), r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+    FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 10
+"""
