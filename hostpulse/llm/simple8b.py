@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import pieces, spans_to_index, splits, stage_path, staged, text_bytes
+from hostpulse.llm.common import folder_uri, pieces, spans_to_index, splits, stage_path, staged, text_bytes
 from hostpulse.llm.words import Splitter, WordIds, library_encoder
 
 #: Fixed values: (values per word, bits per value) of selectors 1 to 15.  Selector 0 is the escape: the
@@ -269,16 +269,12 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int, path: str | None = None) -> DataFrame:
-    """Write the documents' token files (below the shared folder unless ``path`` is a folder URI) and read them back."""
-    target = _uri(path or stage_path(spark, "tokens"))
+    """Write the documents' token files (below the shared folder unless ``path`` names a folder) and read them back."""
+    target = folder_uri(spark, path) if path else stage_path(spark, "tokens")
     manifest = staged(write_token_files(docs, tokenizer, target, end_id=end_id), "token-manifest")
     return read_token_files(manifest, target)
 
 
-def _uri(path: str) -> str:
-    return path if ":/" in path else f"file://{path}"
-
-
 def pack_bytes(values: np.ndarray) -> bytes:
     """One array as a token file of one document, for single uses and tests."""
     out = io.BytesIO()

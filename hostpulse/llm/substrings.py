@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from hostpulse.llm.common import SpanHash, flat, mix, pieces, spans_to_index, splits, stage_path, staged
@@ -512,7 +512,6 @@ def remove_repeats(
     if not 0 < length - gram < 32:
         raise ValueError("a window must be longer than a gram, by less than 32 bytes")
     path = stage_path(docs.sparkSession, "chunks")
-    path = path if ":/" in path else f"file://{path}"
     written = write_chunks(docs, path, id_col=id_col, text_col=text_col, chunk_bytes=chunk_bytes, length=length, gram=gram)
     manifest = staged(written, "chunk-manifest")
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
@@ -526,7 +525,12 @@ def remove_repeats(
     def told(chunk: pa.Table) -> list[tuple[int, bytes]]:
         return list(zip(chunk.column("bucket").to_pylist(), chunk.column("verdicts").to_pylist()))
 
-    names = manifest.select("chunk")
+    many = min(chunks, 1 << 16)
+
+    def by_chunk(df: DataFrame) -> GroupedData:
+        return df.repartition(many, "chunk").groupBy("chunk")  # the work follows the chunks, not the bytes of what they are told
+
+    names = by_chunk(manifest.select("chunk"))
 
     def send(key: tuple, chunk_rows: pa.Table, verdict_rows: pa.Table) -> pa.Table:
         out = {"bucket": [], "chunk": [], "where": [], "body": []}
@@ -546,7 +550,7 @@ def remove_repeats(
                 out["body"].append(chunk.body[spans_to_index(first, size)].tobytes())
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("where", pa.binary()), ("body", pa.binary())]))
 
-    sent = names.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, "bucket int, chunk string, where binary, body binary")
+    sent = names.cogroup(by_chunk(verdicts)).applyInArrow(send, "bucket int, chunk string, where binary, body binary")
     masks = staged(sent.groupBy("bucket").applyInPandas(_compare_of(length, gram), "chunk string, masks binary"), "masks")
     answers = verdicts.unionByName(masks, allowMissingColumns=True)
     if len(crowded):
@@ -607,5 +611,5 @@ def remove_repeats(
             )
         return pa.concat_tables(tables)
 
-    return names.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<long>")
+    return names.cogroup(by_chunk(answers)).applyInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<long>")
 

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import stage_path, staged
+from hostpulse.llm.common import folder_uri, stage_path, staged
 
 #: Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -287,8 +287,7 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
-    """Write pages as archives (below the shared folder unless ``path`` is a folder URI) and read them back."""
-    target = path or stage_path(spark, "warc")
-    target = target if ":/" in target else f"file://{target}"
+    """Write pages as archives (below the shared folder unless ``path`` names a folder) and read them back."""
+    target = folder_uri(spark, path) if path else stage_path(spark, "warc")
     manifest = staged(write_archives(plan_records(pages, **columns), target), "warc-manifest")
     return read_archives(manifest, target)
