@@ -69,6 +69,16 @@ class Words:
         joined[spans_to_index(places, lengths)] = self.points[spans_to_index(self.starts[chosen], lengths)]
         return joined.tobytes().decode("utf-32-le").split("\n")
 
+    def differ(self, other: np.ndarray) -> np.ndarray:
+        """Whether each word is another string than the word of number ``other``, code point by code point."""
+        lengths = self.ends - self.starts
+        out = lengths != lengths[other]
+        lengths = np.where(out | (other == np.arange(len(other))), 0, lengths)
+        unequal = self.points[spans_to_index(self.starts, lengths)] != self.points[spans_to_index(self.starts[other], lengths)]
+        if unequal.any():
+            out[np.repeat(np.arange(len(lengths)), lengths)[unequal]] = True
+        return out
+
 
 class Splitter:
     """Cuts texts into the words that a tokenizer file's normaliser and pre-tokenizer make of them.
@@ -197,7 +207,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordIds:
-    """Token ids per distinct word, remembered within a task.
+    """Token ids per distinct word, remembered within a task by the word itself.
 
     ``encode`` gets the strings of new words and returns their ids, one array for all, and their counts.
     """
@@ -207,11 +217,22 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
 
+    def _entries(self, strings: list[str]) -> np.ndarray:
+        """Where the ids of distinct words are."""
+        new = [s for s in strings if s not in self.known]
+        if new:
+            ids, counts = self.encode(new)
+            self.known.update(zip(new, range(len(self.counts), len(self.counts) + len(new))))
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+            self.counts = np.append(self.counts, counts)
+            self.ids = np.append(self.ids, ids.astype(np.uint32))
+        return np.fromiter((self.known[s] for s in strings), np.int64, len(strings))
+
     def __call__(self, words: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
         if len(self.known) > MOST_WORDS:
@@ -219,16 +240,12 @@ class WordIds:
         codes, distinct = pd.factorize(words.hashes)
         first = np.zeros(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        where = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(where < 0)
-        if len(new):
-            ids, counts = self.encode(words.strings(first[new]))
-            where[new] = np.arange(len(self.counts), len(self.counts) + len(new))
-            self.known.update(zip(distinct[new].tolist(), where[new].tolist()))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
-            self.counts = np.append(self.counts, counts)
-            self.ids = np.append(self.ids, ids.astype(np.uint32))
-        entry = where[codes]
+        entry = self._entries(words.strings(first))[codes]
+        strangers = np.flatnonzero(words.differ(first[codes]))
+        if len(strangers):  # another word with the hash of one met before in this batch
+            strings = words.strings(strangers)
+            single = list(dict.fromkeys(strings))
+            entry[strangers] = self._entries(single)[[single.index(s) for s in strings]]
         lengths = self.counts[entry]
         flat = self.ids[spans_to_index(self.starts[entry], lengths)]
         total = np.zeros(len(entry) + 1, np.int64)
