@@ -10,31 +10,38 @@ import pyarrow as pa
 from hostpulse.llm.common import SpanHash, code_points, flat, mix
 
 WORDS = 5
-_TABLE = 0x3000
+_UNSEEN, _OUTSIDE, _INSIDE, _ALONE = range(4)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Which code points are word characters, and their lower case; beyond the table all are, unchanged."""
-    inside = np.ones(_TABLE + 1, bool)
-    lower = np.arange(_TABLE + 1, dtype=np.uint32)
-    for c in range(_TABLE):
-        inside[c] = unicodedata.category(chr(c))[0] in "LMN"
-        low = chr(c).lower()
-        if len(low) == 1:
-            lower[c] = ord(low)
-    return inside, lower
+class Characters:
+    """Per code point: whether it belongs to a word, is a word of its own (ideographs and kana), and its lower case."""
+
+    def __init__(self) -> None:
+        self.kind = np.full(0x110000, _UNSEEN, np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+
+    def learn(self, points: np.ndarray) -> None:
+        new = points[self.kind[points] == _UNSEEN]
+        for c in np.unique(new).tolist() if len(new) else ():
+            low = chr(c).lower()
+            if len(low) == 1:
+                self.lower[c] = ord(low)
+            category, name = unicodedata.category(chr(c)), unicodedata.name(chr(c), "")
+            alone = category in ("Lo", "Lm") and any(n in name for n in ("IDEOGRAPH", "HIRAGANA", "KATAKANA"))
+            self.kind[c] = _ALONE if alone else _INSIDE if category[0] in "LMN" else _OUTSIDE
 
 
 class Shingler:
-    """Cuts texts into lower-case words (runs of letters, marks and digits) and hashes every ``width`` in a row.
+    """Cuts texts into lower-case words and hashes every ``width`` in a row.
 
+    Words are runs of letters, marks and digits; an ideograph or kana is one alone.
     A text of fewer words has one shingle of all its words; a text without words has its whole content as one
     element, so that only equal texts share it; an empty or null text has none.
     """
 
     def __init__(self, width: int = WORDS):
         self.width = width
-        self.inside, self.lower = _tables()
+        self.characters = Characters()
         self.factors = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +50,14 @@ class Shingler:
         n = len(points)
         if n == 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.minimum(points, _TABLE)
-        low = np.where(points < _TABLE, self.lower[at], points)
-        inside = self.inside[at]
+        self.characters.learn(points)
+        low, kind = self.characters.lower[points], self.characters.kind[points]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1] | edge[1:n]
-        end = inside.copy()
-        end[:-1] &= ~inside[1:] | edge[1:n]
+        joint = (kind[1:] == _INSIDE) & (kind[:-1] == _INSIDE) & ~edge[1:n]
+        begin, end = kind != _OUTSIDE, kind != _OUTSIDE
+        begin[1:] &= ~joint
+        end[:-1] &= ~joint
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         hashes = SpanHash(mix(low.astype(np.uint64) + np.uint64(1)))(starts, ends)
         return hashes, np.searchsorted(offsets, starts, side="right") - 1
