@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import flat, mix, pieces, spans_to_index, staged
+from hostpulse.llm.common import flat, mix, pieces, spans_to_index, splits, staged
 from hostpulse.llm.components import components
 from hostpulse.llm.shingles import Shingler
 
@@ -23,8 +23,10 @@ LEAST_AGREEMENT = 0.55
 #: Buckets with up to so many members outside their largest class have all pairs of different classes compared in the
 #: last round; texts of fuller ones only where they share a rare element.
 SMALL_BUCKET = 24
-#: Counters of how often elements occur: 2 to this power.
-SLOT_BITS = 18
+#: Counters of how often elements occur: 2 to a power between these, about one for 16 elements.
+SLOT_BITS = (10, 22)
+#: Bytes of elements that one task counts.
+CENSUS_BYTES = 64 << 20
 ROUNDS = 3
 
 #: Cumulated Poisson(1) probabilities: how many darts a unit cell has.
@@ -193,55 +195,74 @@ def _across(members: DataFrame, mixed: DataFrame, fits: Column | None = None) ->
     return outside.join(inside, apart if fits is None else apart & fits).select(*_ends(F.col("x_id"), F.col("id")))
 
 
-def _slots(elements: np.ndarray) -> np.ndarray:
-    return (mix(elements) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def _elements(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Elements of all texts of a batch and how many each has."""
     body, offsets = flat(batch.column("elements"))
     return np.ascontiguousarray(body).view(np.uint32), np.diff(offsets) // 4
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SLOT_BITS, np.int64)
-    for batch in batches:
-        total += np.bincount(_slots(_elements(batch)[0]), minlength=len(total))
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+class Order:
+    """The common order of all texts' elements: by how often the element's slot was counted, then by value.
+
+    Any order that is the same for all texts is right; the counts make it short, as rare elements come first.
+    """
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.often = np.zeros(1 << bits, np.int32)
+
+    def slots(self, elements: np.ndarray) -> np.ndarray:
+        return (mix(elements) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def first(self, batch: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, ...]:
+        """The first elements of every text: value, slot, text, place, size of the text."""
+        elements, count = _elements(batch)
+        slot = self.slots(elements)
+        owner = np.repeat(np.arange(batch.num_rows), count)
+        order = np.lexsort((elements, self.often[slot], owner))
+        place = np.arange(len(elements)) - np.repeat(np.cumsum(count) - count, count)
+        first = np.flatnonzero(place < (count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1)[owner])
+        return elements[order][first], slot[order][first], owner[first], place[first], count[owner[first]]
+
+
+def _census(texts: DataFrame, order: Order) -> DataFrame:
+    """Counts of slots, from all elements of all texts; each task reports the slots with more than their fair share of its elements.
+
+    Those are fewer than half of the slots, whatever the task reads, and what is not reported is rare and comes first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << order.bits, np.int64)
+        for batch in batches:
+            total += np.bincount(order.slots(_elements(batch)[0]), minlength=len(total))
+        used = np.flatnonzero(total > 2 * total.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
-def _first_elements(batch: pa.RecordBatch, often: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """The first elements of every text in the common order: value, slot, text, place, size of the text."""
-    elements, count = _elements(batch)
-    slot = _slots(elements)
-    owner = np.repeat(np.arange(batch.num_rows), count)
-    order = np.lexsort((elements, often[slot], owner))
-    place = np.arange(len(elements)) - np.repeat(np.cumsum(count) - count, count)
-    first = np.flatnonzero(place < (count - np.ceil(similarity * count - 1e-9).astype(np.int64) + 1)[owner])
-    return elements[order][first], slot[order][first], owner[first], place[first], count[owner[first]]
+    return texts.select("elements").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
 def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
     """Per text (``id``, ``label``, ``elements``) its rarest elements as buckets, their place in the text's order, its size.
 
-    All texts order their elements alike, by how often the element's slot occurs (a table of fixed size) and then by value.  Two
-    texts of at least this similarity share one of the first n - ceil(similarity x n) + 1, whatever the order is.  Of
+    Two texts of at least this similarity share one of the first n - ceil(similarity x n) + 1 of the common order.  Of
     these only those go out whose slot has texts of several classes and that come early enough for the shortest text there.
+    The tables of slots grow with the elements up to a fixed size; a task counts a fixed number of bytes, so that its report
+    is a small share of what it reads.
     """
-    context, slots = texts.sparkSession.sparkContext, 1 << SLOT_BITS
-    counted = texts.select("elements").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    often = np.zeros(slots, np.int64)
-    for row in counted.collect():  # at most one row per slot, whatever the data
-        often[row["slot"]] = row["n"]
-    order = context.broadcast(often)
-    share = similarity / (1 + similarity)
+    context = texts.sparkSession.sparkContext
+    size = texts.agg(F.sum(F.length("elements"))).first()[0]
+    gathered = texts.coalesce(splits(size, CENSUS_BYTES))
+    order = Order(min(max((size // 64).bit_length(), SLOT_BITS[0]), SLOT_BITS[1]))
+    for row in _census(gathered, order).collect():  # at most one row per slot, whatever the data
+        order.often[row["slot"]] = min(row["n"], (1 << 31) - 1)
+    shared = context.broadcast(order)
+    share, slots = similarity / (1 + similarity), 1 << order.bits
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = np.iinfo(np.int64).max
         low, high, short = np.full(slots, big), np.full(slots, -big), np.full(slots, big)
         for batch in batches:
-            _, slot, owner, _, size = _first_elements(batch, order.value, similarity)
+            _, slot, owner, _, size = shared.value.first(batch, similarity)
             label = batch.column("label").to_numpy()[owner]
             np.minimum.at(low, slot, label)
             np.maximum.at(high, slot, label)
@@ -249,16 +270,16 @@ def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
         used = np.flatnonzero(short < big)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (used, low[used], high[used], short[used])], names=["slot", "low", "high", "short"])
 
-    met = texts.mapInArrow(survey, "slot long, low long, high long, short long").groupBy("slot")
-    shared = met.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("short").alias("short")).where("low < high")
+    met = gathered.mapInArrow(survey, "slot long, low long, high long, short long").groupBy("slot")
+    several = met.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("short").alias("short")).where("low < high")
     shortest = np.full(slots, -1)
-    for row in shared.collect():  # at most one row per slot
+    for row in several.collect():  # at most one row per slot
         shortest[row["slot"]] = row["short"]
     partner = context.broadcast(shortest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            element, slot, owner, place, size = _first_elements(batch, order.value, similarity)
+            element, slot, owner, place, size = shared.value.first(batch, similarity)
             other = partner.value[slot]
             use = (other >= 0) & (size - place + 1e-6 >= (size + other) * share)
             chosen = pa.array(owner[use])
