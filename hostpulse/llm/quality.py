@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 from hostpulse.llm.common import SpanHash, code_points, mix, pieces
 
 #: Learned vectors and their length.
-BUCKETS, DIMENSIONS = 1 << 17, 8
+BUCKETS, DIMENSIONS = 1 << 18, 8
 #: Labelled rows that the classifier is fitted on, at most this many of each class, chosen by a hash of the id.
-ROWS_PER_CLASS = 2000
-EPOCHS, RATE, SEED = 4, 1.0, 7
+ROWS_PER_CLASS = 5000
+EPOCHS, RATE, SEED = 3, 1.0, 7
 THRESHOLD = 0.7
 GRAMS = (2, 3, 4)
 _WHITE = np.array([*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 _TABLE = 1 << 16
-_REPEAT = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass
@@ -51,8 +50,7 @@ class Model:
 class Features:
     """Hashed features of texts: character n-grams inside words (word ends marked), words, and word pairs.
 
-    Words are what white space separates, in their own case.  A word that equals the one before it gives the
-    same feature whatever the word is.
+    Words are what white space separates, in their own case.
     """
 
     def __init__(self, buckets: int = BUCKETS):
@@ -99,7 +97,7 @@ class Features:
         text = owner[starts]
         yield self._bucket(words), text
         pair = text[1:] == text[:-1]
-        both = np.where(words[1:] == words[:-1], _REPEAT, words[:-1] * self.factors[1] + words[1:] * self.factors[2])
+        both = words[:-1] * self.factors[1] + words[1:] * self.factors[2]
         yield self._bucket(both[pair]), text[1:][pair]
 
 
@@ -160,7 +158,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", i
     sample = chosen.where("label = 0").orderBy(*order).limit(rows_per_class).union(chosen.where("label = 1").orderBy(*order).limit(rows_per_class))
     # the sample is bounded by its two limits
     texts = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "l_id")
-    texts = texts.select("l_id", "label", "text").orderBy(F.xxhash64("l_id"), "l_id").coalesce(1)
+    # of rows that repeat an id one is learned, the first in order
+    one = texts.groupBy("l_id", "label").agg(F.min("text").alias("text"))
+    texts = one.select("l_id", "label", "text").orderBy(F.xxhash64("l_id"), "l_id", "label").coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, rows, found = Features(), [], []

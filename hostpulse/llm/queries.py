@@ -108,8 +108,8 @@ def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_row() -> Column:
-    """Rows whose labels may be learned: the checksum of the id is not 2 modulo 4."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    """Rows whose labels may be learned: the checksum of the id is not 2 modulo 4.  A null id has none, and isn't held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2, F.lit(True))
 
 
 @_register
