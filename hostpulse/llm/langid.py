@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostpulse.llm.common import SpanHash, code_points, mix, pieces, spans_to_index
+from hostpulse.llm.common import SpanHash, bounded, code_points, mix, pieces, spans_to_index, staged
 
 #: Labelled rows that a language is learned from, at most this many, chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 1000
@@ -259,9 +259,14 @@ def fit_languages(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc
     ok = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
     labelled = docs.where(ok & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    one = ids.groupBy("lang", "id").agg(F.min("h").alias("h"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = one.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= rows_per_language).drop("nth")
+    one = staged(ids.groupBy("lang", "id").agg(F.min("h").alias("h")), "labelled-ids")
+    rank = F.xxhash64("id")
+    # only ranks so low that about twice the rows wanted are below them come together
+    low = (F.lit(2.0**64) * (2 * rows_per_language + 100) / F.col("n")) - F.lit(2.0**63)
+    rows = one.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    first = one.join(bounded(staged(rows, "languages")), "lang").where(rank.cast("double") <= low)
+    by_hash = Window.partitionBy("lang").orderBy(rank, "id")
+    chosen = first.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= rows_per_language).select("lang", "id", "h")
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     # the chosen ids are bounded by the languages and the limit above
     picked = texts.join(F.broadcast(chosen), ["lang", "id", "h"]).select("lang", "id", "text")
