@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostpulse.operators.hot_keys import TARGET_ROWS, split_hot
+from hostpulse.operators.lookup import lookup
 
 # Stands for "no threshold can be reached"; later than any microsecond timestamp.
 NEVER = np.iinfo(np.int64).max // 2
@@ -224,3 +225,24 @@ def mark_anchors(
     marked = ordered.mapInArrow(_marker(key, time, gap, entry), out)
     extra = ["chunk", "seed"] + ([] if "forced" in rows.columns else ["forced"])
     return marked.drop(*extra)
+
+
+def with_anchors_before(rows: DataFrame, state: DataFrame, key: str, time: str, *, spread: str) -> DataFrame:
+    """``rows`` with the anchors that earlier batches left as forced first rows of their keys (``stored``).
+
+    ``state`` has ``key`` and ``anchor_before``, at most one row per key; every row also gets its key's.  A row older than that anchor counts as
+    one at its time: a batch cannot change what was decided before.  Keys without new rows are not touched.
+    """
+    known = lookup(rows, state.select(key, "anchor_before"), key, spread=spread)
+    moved = known.withColumn(time, F.greatest(F.col(time), F.coalesce("anchor_before", time)))
+    seeds = moved.where(F.col("anchor_before").isNotNull()).groupBy(key).agg(F.max("anchor_before").alias("anchor_before"))
+    seeds = seeds.select(key, F.col("anchor_before").alias(time), F.lit(True).alias("stored"))
+    return moved.withColumn("stored", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
+
+
+def newest_anchors(marked: DataFrame, state: DataFrame | None, key: str) -> DataFrame:
+    """The newest anchor of every key after a batch: what ``with_anchors_before`` of the next one needs."""
+    newest = marked.where(F.col("anchor").isNotNull()).groupBy(key).agg(F.max("anchor").alias("anchor_before"))
+    if state is None:
+        return newest
+    return newest.unionByName(state.select(key, "anchor_before").join(newest, key, "left_anti"))

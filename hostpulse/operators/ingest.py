@@ -14,7 +14,7 @@ from hostpulse.functions import (
     token_hash,
     utf16_length,
 )
-from hostpulse.operators.anchors import mark_anchors
+from hostpulse.operators.anchors import mark_anchors, with_anchors_before
 from hostpulse.operators.lookup import broadcast_if_small, lookup
 
 # The refusal reasons callers of the contract see, in the order they are tested.
@@ -237,23 +237,70 @@ def attribute_events(events: DataFrame) -> DataFrame:
     ).withColumn("host_id", F.coalesce(bound, F.col("host_id")))
 
 
+def limit_requests(
+    requests: DataFrame, *, max_requests: int = 100, window_ms: int = 60_000, state: DataFrame | None = None, **split
+) -> DataFrame:
+    """Requests with ``anchor``, the start of their window in milliseconds, and ``place``, their number in it.
+
+    ``state`` is what earlier batches left (``limiter_state``): a window that is still open goes on with the requests it has
+    already counted.
+    """
+    timed = requests.withColumn("at_ms", F.unix_millis(F.col("at").cast("timestamp")))
+    place = Window.partitionBy("client", "anchor").orderBy("at_ms", "seq")
+    if state is None:
+        marked = mark_anchors(timed, "client", "at_ms", tie="seq", gap=window_ms, **split)
+        return marked.withColumn("place", F.row_number().over(place).cast("long"))
+    open_windows = state.select("client", F.col("started_ms").alias("anchor_before"))
+    seeded = with_anchors_before(timed, open_windows, "client", "at_ms", spread="seq")
+    marked = mark_anchors(seeded, "client", "at_ms", tie="seq", gap=window_ms, forced="stored", **split)
+    marked = lookup(marked.where(~F.col("stored")), state.select("client", "used"), "client", spread="seq")
+    before = F.when(F.col("anchor") == F.col("anchor_before"), F.col("used")).otherwise(0)
+    return marked.withColumn("place", F.row_number().over(place) + before)
+
+
+def limiter_state(
+    limited: DataFrame, state: DataFrame | None = None, *, max_requests: int = 100, window_ms: int = 60_000
+) -> DataFrame:
+    """Per client the start of its newest window (``started_ms``) and the requests ``used`` in it, after a batch.
+
+    Windows that had ended by the newest request are left out, so the state does not grow with all clients ever seen.
+    """
+    counted = limited.groupBy("client", "anchor").agg(F.max("place").alias("place"))
+    newest = counted.groupBy("client").agg(F.max("anchor").alias("started_ms"), F.max_by("place", "anchor").alias("place"))
+    after = newest.select("client", "started_ms", F.least(F.col("place"), F.lit(max_requests)).cast("long").alias("used"))
+    if state is not None:
+        after = after.unionByName(state.select("client", "started_ms", "used").join(after, "client", "left_anti"))
+    last = limited.agg(F.max("at_ms")).scalar()
+    return after.where(last.isNull() | (F.col("started_ms") + window_ms > last))
+
+
 def rate_limit_decisions(
-    requests: DataFrame, *, max_requests: int = 100, window_ms: int = 60_000, **split
+    requests: DataFrame,
+    *,
+    max_requests: int = 100,
+    window_ms: int = 60_000,
+    state: DataFrame | None = None,
+    **split,
 ) -> DataFrame:
     """Add ``window_started_at`` and ``allowed``.
 
     A client's window starts at its first request and again at the first request at least
     ``window_ms`` later; requests past the maximum are refused and do not extend the window.
-    Requests need ``client``, ``at`` and the unique order ``seq``.
+    Requests need ``client``, ``at`` and the unique order ``seq``.  ``state`` is the limiter state left by earlier batches.
     """
-    timed = requests.withColumn("at_ms", F.unix_millis(F.col("at").cast("timestamp")))
-    marked = mark_anchors(timed, "client", "at_ms", tie="seq", gap=window_ms, **split)
-    place = Window.partitionBy("client", "anchor").orderBy("at_ms", "seq")
-    started = F.timestamp_millis("anchor")
-    return marked.select(
+    limited = limit_requests(requests, max_requests=max_requests, window_ms=window_ms, state=state, **split)
+    return limited.select(
         *requests.columns,
-        started.alias("window_started_at"),
-        (F.row_number().over(place) <= max_requests).alias("allowed"),
+        F.timestamp_millis("anchor").alias("window_started_at"),
+        (F.col("place") <= max_requests).alias("allowed"),
+    )
+
+
+def body_refusal() -> Column:
+    """What kind of refusal the ``reason`` of parsing and validation is; null without one."""
+    body_reason = F.col("reason")
+    return F.when(body_reason.isin(TOO_LARGE, INVALID_JSON), body_reason).when(
+        body_reason.isNotNull(), F.lit("validation")
     )
 
 
@@ -264,10 +311,6 @@ def admission_reason(joined: DataFrame) -> DataFrame:
     asked), ``content_type`` and the ``reason`` of parsing and validation.
     """
     content = F.lower(F.coalesce("content_type", F.lit("")))
-    body_reason = F.col("reason")
-    body_kind = F.when(body_reason.isin(TOO_LARGE, INVALID_JSON), body_reason).when(
-        body_reason.isNotNull(), F.lit("validation")
-    )
     before_body = first_reason(
         (
             F.upper(F.coalesce("http_method", F.lit(""))) != "POST",
@@ -277,7 +320,7 @@ def admission_reason(joined: DataFrame) -> DataFrame:
         (~F.col("allowed"), "rate_limited"),
         (~content.startswith("application/json"), "content_type"),
     )
-    return joined.withColumn("reason", F.coalesce(before_body, body_kind))
+    return joined.withColumn("reason", F.coalesce(before_body, body_refusal()))
 
 
 def admit(
@@ -297,14 +340,21 @@ def admit(
     authorised = authorize_events(
         submissions, credentials, shared_hash=shared_hash, shared_enabled=shared_enabled
     )
-    asked = authorised.where(
+    limited = limit_requests(asked_requests(authorised), max_requests=max_requests, window_ms=window_ms)
+    return admission_reason(admitted_bodies(authorised, limited, max_requests=max_requests))
+
+
+def asked_requests(authorised: DataFrame) -> DataFrame:
+    """What reaches the rate limiter: authorised POST requests as (client, at, seq)."""
+    return authorised.where(
         (F.upper("http_method") == "POST") & (F.col("method") != "unauthorized")
     ).select("client", F.col("received_at").alias("at"), F.col("ingest_seq").alias("seq"))
-    decisions = rate_limit_decisions(
-        asked, max_requests=max_requests, window_ms=window_ms
-    ).select(F.col("seq").alias("ingest_seq"), "allowed")
-    checked = validate_events(parse_events(authorised.join(decisions, "ingest_seq", "left")))
-    return admission_reason(checked)
+
+
+def admitted_bodies(authorised: DataFrame, limited: DataFrame, *, max_requests: int) -> DataFrame:
+    """Parsed and validated submissions with ``allowed``, null where the limiter was never asked."""
+    decisions = limited.select(F.col("seq").alias("ingest_seq"), (F.col("place") <= max_requests).alias("allowed"))
+    return validate_events(parse_events(authorised.join(decisions, "ingest_seq", "left")))
 
 
 def first_arrivals(events: DataFrame) -> DataFrame:

@@ -6,27 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostpulse.functions import micros
-from hostpulse.operators.anchors import NEVER, mark_anchors
+from hostpulse.operators.anchors import NEVER, mark_anchors, newest_anchors, with_anchors_before
 
 # Fixed value: the event type of a reminder; the others are "alert." and the transition.
 REMINDER = "alert.reminder"
 
 
-def reminder_due(
+def mark_reminders(
     occurrences: DataFrame,
     deliveries: DataFrame,
     *,
     cooldown_s: int = 900,
     order: str | tuple[str, ...] = "ingest_seq",
+    state: DataFrame | None = None,
     **split,
 ) -> DataFrame:
-    """Whether each occurrence (alert_key, at and the ``order`` columns) is due for a reminder.
+    """Occurrences and delivered attempts of each alert in time order, marked where a reminder goes out.
 
-    Due when the cooldown has passed since the later of the last delivered attempt and the last
-    reminder; never before anything was delivered; never when the cooldown is not positive.
+    ``state`` (alert_key, anchor_before: the newest delivery or reminder in microseconds) is what earlier batches left.
     """
-    if cooldown_s <= 0:
-        return occurrences.withColumn("due", F.lit(False))
     log = deliveries.where(F.col("delivery_status") == "DELIVERED").select(
         "alert_key",
         F.col("attempted_at").alias("at"),
@@ -37,37 +35,68 @@ def reminder_due(
         .unionByName(log, allowMissingColumns=True)
         .withColumn("at_us", micros(F.col("at")))
     )
-    marked = mark_anchors(
+    forced = "delivered"
+    if state is not None:
+        first = order if isinstance(order, str) else order[0]
+        merged = with_anchors_before(merged, state, "alert_key", "at_us", spread=first)
+        merged, forced = merged.withColumn("known", F.col("stored") | F.col("delivered")), "known"
+        merged = merged.withColumn("known", F.coalesce("known", "stored"))
+    return mark_anchors(
         merged,
         "alert_key",
         "at_us",
         tie=order,
         gap=cooldown_s * 1_000_000,
         entry=NEVER,
-        forced="delivered",
+        forced=forced,
         **split,
     )
-    return marked.where(~F.col("delivered")).select(
-        *occurrences.columns, F.col("is_anchor").alias("due")
-    )
 
 
-def notification_policy(
-    transitions: DataFrame, deliveries: DataFrame, *, cooldown_s: int = 900, **split
+def _due(marked: DataFrame, columns: list[str]) -> DataFrame:
+    """The occurrences among marked rows, with ``due``."""
+    return marked.where(F.coalesce(~F.col("delivered"), F.lit(False))).select(*columns, F.col("is_anchor").alias("due"))
+
+
+def reminder_state(marked: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Per alert its newest delivery or reminder after a batch."""
+    return newest_anchors(marked, state, "alert_key")
+
+
+def reminder_due(
+    occurrences: DataFrame,
+    deliveries: DataFrame,
+    *,
+    cooldown_s: int = 900,
+    order: str | tuple[str, ...] = "ingest_seq",
+    state: DataFrame | None = None,
+    **split,
 ) -> DataFrame:
-    """Add ``event_type`` and ``decision`` (DELIVER or SUPPRESSED) to every transition."""
+    """Whether each occurrence (alert_key, at and the ``order`` columns) is due for a reminder.
+
+    Due when the cooldown has passed since the later of the last delivered attempt and the last
+    reminder; never before anything was delivered; never when the cooldown is not positive.
+    """
+    if cooldown_s <= 0:
+        return occurrences.withColumn("due", F.lit(False))
+    marked = mark_reminders(occurrences, deliveries, cooldown_s=cooldown_s, order=order, state=state, **split)
+    return _due(marked, occurrences.columns)
+
+
+_ORDER = ("ingest_seq", "sub_seq")
+
+
+def fold_reminders(
+    transitions: DataFrame, deliveries: DataFrame, *, cooldown_s: int = 900, state: DataFrame | None = None, **split
+) -> DataFrame:
+    """Marked occurrences of a batch of transitions: what ``policy_of`` and ``reminder_state`` read; a job that needs both writes it once."""
     occurrences = transitions.where(F.col("transition") == "OCCURRENCE")
-    reminders = (
-        reminder_due(
-            occurrences,
-            deliveries,
-            cooldown_s=cooldown_s,
-            order=("ingest_seq", "sub_seq"),
-            **split,
-        )
-        .withColumn("event_type", F.when(F.col("due"), REMINDER))
-        .drop("due")
-    )
+    return mark_reminders(occurrences, deliveries, cooldown_s=cooldown_s, order=_ORDER, state=state, **split)
+
+
+def policy_of(transitions: DataFrame, due: DataFrame) -> DataFrame:
+    """Transitions with ``event_type`` and ``decision``; ``due`` has the occurrences with their flag."""
+    reminders = due.withColumn("event_type", F.when(F.col("due"), REMINDER)).drop("due")
     changes = transitions.where(F.col("transition") != "OCCURRENCE").withColumn(
         "event_type", F.concat(F.lit("alert."), F.lower("transition"))
     )
@@ -75,6 +104,26 @@ def notification_policy(
     return changes.unionByName(reminders).withColumn("decision", decision)
 
 
+def notification_policy(
+    transitions: DataFrame,
+    deliveries: DataFrame,
+    *,
+    cooldown_s: int = 900,
+    marked: DataFrame | None = None,
+    **split,
+) -> DataFrame:
+    """Add ``event_type`` and ``decision`` (DELIVER or SUPPRESSED) to every transition.
+
+    ``marked`` are the reminders of these transitions where ``fold_reminders`` has already been written.
+    """
+    occurrences = transitions.where(F.col("transition") == "OCCURRENCE")
+    if cooldown_s <= 0:
+        return policy_of(transitions, occurrences.withColumn("due", F.lit(False)))
+    if marked is None:
+        marked = fold_reminders(transitions, deliveries, cooldown_s=cooldown_s, **split)
+    return policy_of(transitions, _due(marked, occurrences.columns))
+
+
 def notification_outbox(
     policy: DataFrame,
     *,

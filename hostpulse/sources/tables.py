@@ -53,6 +53,11 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(entry.getPath().getName() for entry in files.listStatus(folder))
 
 
+def by_day(dated: DataFrame) -> DataFrame:
+    """Events gathered by date and sorted as the telemetry table keeps them."""
+    return dated.hint("rebalance", "event_date").sortWithinPartitions("event_date", "host_id", "event_timestamp")
+
+
 def append_telemetry(events: DataFrame, path: str, *, mode: str = "append") -> None:
     """Append accepted, new events, one folder per event date.
 
@@ -61,14 +66,7 @@ def append_telemetry(events: DataFrame, path: str, *, mode: str = "append") -> N
     """
     dated = events.withColumn("event_date", F.to_date("event_timestamp"))
     columns = [f.name for f in S.TELEMETRY.fields if f.name in events.columns]
-    (
-        dated.select(*columns, "event_date")
-        .hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "host_id", "event_timestamp")
-        .write.mode(mode)
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    by_day(dated.select(*columns, "event_date")).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +101,9 @@ def prune_table(
     time_col: str,
     now: datetime | Column,
     days: int = 30,
+    versions: list[str] | None = None,
 ) -> int:
-    """Retention on a table partitioned by ``event_date``, below ``version`` folders or not; returns how many rows went.
+    """Retention on a table partitioned by ``event_date``, below ``version`` folders (all, or those named) or not; returns how many rows went.
 
     The boundary date's kept rows are written first and then replace their partitions; only after that do the
     partitions go that hold nothing to keep.  A run that breaks off leaves rows that should have gone, never loses
@@ -113,10 +112,13 @@ def prune_table(
     if days <= 0:
         return 0
     below = [name for name in subfolders(spark, path) if name.startswith("version=")]
+    if versions is not None:
+        below = [name for name in below if name.removeprefix("version=") in set(versions)]
     layout = ["version", "event_date"] if below else ["event_date"]
     kinds = {"version": T.StringType(), "event_date": T.DateType()}
     parts = [T.StructField(name, kinds[name]) for name in layout]
-    table = spark.read.schema(T.StructType(schema.fields + parts)).parquet(path)
+    folders = [f"{path}/{name}" for name in below] or [path]
+    table = spark.read.schema(T.StructType(schema.fields + parts)).option("basePath", path).parquet(*folders)
     at = now if isinstance(now, Column) else F.lit(now)
     boundary = F.to_date(at - F.expr(f"INTERVAL '{days}' DAY"))
     kept, removed = prune_history(table, time_col=time_col, now=now, days=days)
