@@ -165,7 +165,7 @@ def delivery_stalls(
         .withColumn("at_us", micros(F.col("at")))
         .withColumn("ok_at", F.when(~F.col("failed"), F.col("at_us")))
     )
-    every, only_hot = split_hot(rows, "host_id", "at_us", target=target, max_span=None)
+    every, only_hot = split_hot(rows, "host_id", "at_us", target=target, max_span=None, flag="hot")
     chunk = ["host_id", "chunk"]
     seeded = every.withColumn("start", F.col("at_us"))
     if only_hot is not None:
@@ -183,10 +183,12 @@ def delivery_stalls(
             F.min("start").over(before).alias("start"),
         ).where(F.col("start").isNotNull())
         seeded = seeded.unionByName(
-            seeds.withColumn("tick", F.lit(False)), allowMissingColumns=True
+            seeds.withColumn("tick", F.lit(False)).withColumn("hot", F.lit(True)), allowMissingColumns=True
         )
+    # the flag is a key of the window, so that a filter on it goes below
+    place = ["host_id", "chunk", "hot"]
     through = (
-        Window.partitionBy(*chunk)
+        Window.partitionBy(*place)
         .orderBy(F.asc_nulls_first("at_us"), "tick", "failed")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -206,11 +208,17 @@ def delivery_stalls(
             & (F.col("gap") >= stall_minutes * MICROS_PER_MINUTE),
         )
     )
-    # Checks come at a fixed pace per host, so their number per host is bounded by time.
-    previous = F.lag("stalled", 1, False).over(Window.partitionBy("host_id").orderBy("at_us"))
+    previous = F.lag("stalled").over(Window.partitionBy(*place).orderBy("at_us"))
+    if only_hot is None:
+        was = checks.withColumn("was", F.coalesce(previous, F.lit(False)))
+    else:
+        # the first check of a chunk is compared with the last one of the chunks before it
+        last = checks.where("hot").groupBy(*chunk).agg(F.max_by("stalled", "at_us").alias("verdict"))
+        carried = last.select(*chunk, F.last("verdict", ignorenulls=True).over(earlier_chunks("host_id")).alias("verdict"))
+        borders = carried.where("verdict")
+        was = checks.join(borders, chunk, "left").withColumn("was", F.coalesce(previous, "verdict", F.lit(False)))
     return (
-        checks.withColumn("was", previous)
-        .where(F.col("stalled") != F.col("was"))
+        was.where(F.col("stalled") != F.col("was"))
         .select(
             "host_id",
             "at",

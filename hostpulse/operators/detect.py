@@ -20,7 +20,7 @@ from hostpulse.functions import (
     repeated_error_rule,
 )
 from hostpulse.operators.hot_keys import TARGET_ROWS, earlier_chunks, split_hot
-from hostpulse.operators.rules import with_effective_rules
+from hostpulse.operators.rules import RuleLog, with_effective_rules
 
 SIGNAL_COLUMNS = (
     "alert_key",
@@ -142,50 +142,40 @@ def evaluations(
             seeds.select("*", F.lit(True).alias("is_new"), F.lit(True).alias("seed"))
         )
 
-    # Two window steps, each with one sort: positions by arrival, then the frames by position.
-    # Positions and not rows bound the frames, because repeats between new events do not count.
-    arrival = Window.partitionBy("host_id", "chunk").orderBy("ingest_seq")
-    place = Window.partitionBy("host_id", "chunk").orderBy("place")
-    last_events, newest = place.rangeBetween(-(window - 1), 0), place.rangeBetween(0, 0)
-
-    def if_new(column: str | Column) -> Column:
-        return F.when(F.col("is_new"), column if isinstance(column, Column) else F.col(column))
-
-    reading = F.struct("event_timestamp", "disk_usage", "disk_path")
-    counted = F.col("is_new").cast("long")
+    # Two window steps over one exchange: the new events by themselves, so that frames count rows and no repeat stands
+    # in one; then every delivery takes the newest of them that arrived before it.
+    keys = ["host_id", "chunk"]
+    new_only = Window.partitionBy(*keys, "is_new").orderBy("ingest_seq")
+    last_events, so_far = new_only.rowsBetween(-(window - 1), 0), new_only.rowsBetween(Window.unboundedPreceding, 0)
+    arrival = Window.partitionBy(*keys).orderBy("ingest_seq").rowsBetween(Window.unboundedPreceding, 0)
+    frame = F.struct(
+        # Seeds are the oldest rows of their chunk, so every other row sees their offset.
+        (F.coalesce(F.max("offset").over(so_far), F.lit(0)) + F.row_number().over(new_only)).alias("pos"),
+        F.avg("cpu_usage").over(last_events).alias("avg_cpu"),
+        F.avg("ram_usage").over(last_events).alias("avg_ram"),
+        F.count(F.lit(1)).over(last_events).alias("size"),
+        F.collect_list("error").over(last_events).alias("errors"),
+        F.col("event_timestamp").alias("now"),
+        "disk_usage",
+        "disk_path",
+    )
+    framed = seeded.repartition(*keys).select("ingest_seq", *keys, "is_new", "seed", frame.alias("frame"))
+    newest = F.last(F.when(F.col("is_new"), F.col("frame")), ignorenulls=True).over(arrival)
     return (
-        seeded.select(
-            "*",
-            F.sum(counted).over(arrival).alias("place"),
-            # Seeds are the oldest rows of their chunk, so every other row sees their offset.
-            F.coalesce(F.max("offset").over(arrival), F.lit(0)).alias("skipped"),
-        )
-        .where(F.col("place") > 0)
-        .select(
-            "ingest_seq",
-            "host_id",
-            "is_new",
-            "seed",
-            (F.col("skipped") + F.col("place")).alias("pos"),
-            F.avg(if_new("cpu_usage")).over(last_events).alias("avg_cpu"),
-            F.avg(if_new("ram_usage")).over(last_events).alias("avg_ram"),
-            F.sum(counted).over(last_events).alias("size"),
-            F.collect_list(if_new("error")).over(last_events).alias("errors"),
-            F.max(if_new(reading)).over(newest).alias("reading"),
-        )
-        .where(~F.col("seed"))
+        framed.select("ingest_seq", "host_id", "is_new", "seed", newest.alias("frame"))
+        .where(~F.col("seed") & F.col("frame").isNotNull())
         .select(
             "ingest_seq",
             "host_id",
-            "pos",
+            "frame.pos",
             "is_new",
-            F.col("reading.event_timestamp").alias("now"),
-            "avg_cpu",
-            "avg_ram",
-            "size",
-            F.col("reading.disk_usage").alias("disk_usage"),
-            F.col("reading.disk_path").alias("disk_path"),
-            "errors",
+            "frame.now",
+            "frame.avg_cpu",
+            "frame.avg_ram",
+            "frame.size",
+            "frame.disk_usage",
+            "frame.disk_path",
+            "frame.errors",
         )
     )
 
@@ -202,7 +192,7 @@ def host_windows(
 
 
 def _evaluated(
-    evals: DataFrame, rules: DataFrame, types: tuple[str, ...], defaults: dict[str, float] | None
+    evals: DataFrame, rules: DataFrame | RuleLog, types: tuple[str, ...], defaults: dict[str, float] | None
 ) -> DataFrame:
     return with_effective_rules(
         evals, rules, spread="ingest_seq", defaults=defaults, rule_types=types
@@ -294,7 +284,7 @@ def _emit(evaluated: DataFrame, signals: Column) -> DataFrame:
 
 
 def threshold_signals(
-    evals: DataFrame, rules: DataFrame, *, defaults: dict[str, float] | None = None
+    evals: DataFrame, rules: DataFrame | RuleLog, *, defaults: dict[str, float] | None = None
 ) -> DataFrame:
     """CPU and RAM: every evaluation breaches or clears; a disabled rule clears."""
     evaluated = _evaluated(evals, rules, (S.HIGH_CPU, S.HIGH_RAM), defaults)
@@ -302,14 +292,14 @@ def threshold_signals(
 
 
 def disk_signals(
-    evals: DataFrame, rules: DataFrame, *, defaults: dict[str, float] | None = None
+    evals: DataFrame, rules: DataFrame | RuleLog, *, defaults: dict[str, float] | None = None
 ) -> DataFrame:
     known = evals.where(F.col("disk_usage").isNotNull())
     return _emit(_evaluated(known, rules, (S.HIGH_DISK,), defaults), F.array(_disk_signal()))
 
 
 def repeated_error_signals(
-    evals: DataFrame, rules: DataFrame, *, defaults: dict[str, float] | None = None
+    evals: DataFrame, rules: DataFrame | RuleLog, *, defaults: dict[str, float] | None = None
 ) -> DataFrame:
     """A BREACH per message and evaluation while enough copies are in the window."""
     some = evals.where(F.size("errors") > 0)
@@ -322,7 +312,7 @@ def silence_recovery_signals(evals: DataFrame) -> DataFrame:
 
 
 def delivery_signals(
-    evals: DataFrame, rules: DataFrame, *, defaults: dict[str, float] | None = None
+    evals: DataFrame, rules: DataFrame | RuleLog, *, defaults: dict[str, float] | None = None
 ) -> DataFrame:
     """All signals of every delivery in their fixed order, from one pass over the evaluations."""
     types = (S.HIGH_CPU, S.HIGH_RAM, S.HIGH_DISK, S.REPEATED_ERROR)

@@ -49,21 +49,25 @@ def split_hot(
     *,
     target: int | None = TARGET_ROWS,
     max_span: int | None = MAX_SPAN,
+    flag: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``chunk``; also return the rows of hot keys alone, for building seeds.
+    """Add ``chunk``, and whether the key is hot as ``flag``; also return the rows of hot keys alone, for building seeds.
 
     The broadcast side has at most rows/target entries (50,000 for 10^12 rows).  A ``target`` of
     None is for callers that know all rows together to be few, such as a counted micro-batch:
     nothing is split and there are no hot rows.
     """
     if target is None:
-        return rows.withColumn("chunk", F.lit(0).cast("long")), None
+        whole = rows.withColumn("chunk", F.lit(0).cast("long"))
+        return whole.withColumn(flag, F.lit(False)) if flag else whole, None
     hot = F.broadcast(hot_keys(rows, key, order, target=target, max_span=max_span))
     chunk = F.expr(f"cast({order} div span as bigint)")
     every = rows.join(hot, key, "left").withColumn(
         "chunk", F.coalesce(chunk, F.lit(0).cast("long"))
     )
     only_hot = rows.join(hot, key, "inner").withColumn("chunk", chunk)
+    if flag:
+        every = every.withColumn(flag, F.col("span").isNotNull())
     return every.drop("span"), only_hot.drop("span")
 
 

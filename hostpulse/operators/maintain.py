@@ -29,39 +29,48 @@ def prune_history(
     return history.where(kept), removed
 
 
-# Offset that keeps the class of every positive double above zero (powers go down to 2**-1074).
-_CLASS_ZERO = 70_000
+# Ranges that distinct values are cut into: this many, and each of them again.
+_RANGES = 32
 
 
-def _magnitude_class(value: Column) -> Column:
-    """A whole number that never falls as the value rises; 64 classes per power of two."""
-    power = F.floor(F.log2(F.abs(value)) * 64).cast("long") + _CLASS_ZERO
-    return (
-        F.when(value > 0, power).when(value < 0, -power).otherwise(F.lit(0).cast("long"))
-    )
+def _range_of(value: Column, bounds: Column) -> Column:
+    """Number of the range of a value: how many of the ascending ``bounds`` are less, found in two steps."""
+    below = lambda part: F.size(F.filter(part, lambda b: b < value))
+    every = F.transform(F.sequence(F.lit(1), F.lit(_RANGES - 1)), lambda i: F.get(bounds, i * _RANGES - 1))
+    coarse = below(every)
+    return coarse * _RANGES + below(F.slice(bounds, coarse * _RANGES + 1, _RANGES - 1))
 
 
 def nearest_rank(values: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact nearest-rank percentiles as rows (metric, value).
 
-    Equal values collapse to one counted row before the shuffle.  Counts are cumulated in two
-    levels: over the magnitude classes (at most about 270,000 rows whatever the data, so that level
-    may be one task), then inside each class.
+    Equal values collapse to one counted row before the shuffle.  The distinct values are cut at their own approximate
+    percentiles into ranges of about equally many, however dense they lie; counts are cumulated over the ranges (1,024 rows,
+    so that level may be one task), and only the ranges that hold a wanted rank are ranked inside.
     """
     counted = (
         values.where(F.col(value).isNotNull())
         .groupBy(F.col(value).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("class", _magnitude_class(F.col("value")))
     )
+    shares = [i / _RANGES**2 for i in range(1, _RANGES**2)]
+    bounds = counted.agg(F.percentile_approx("value", shares, 10_000)).scalar()
+    counted = counted.withColumn("bounds", bounds).withColumn("class", _range_of(F.col("value"), F.col("bounds"))).drop("bounds")
     classes = counted.groupBy("class").agg(F.sum("n").alias("n"))
     below = Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     bases = classes.select(
         "class",
+        "n",
         F.coalesce(F.sum("n").over(below), F.lit(0)).alias("base"),
         F.sum("n").over(everything).alias("total"),
     )
+    needed = [F.greatest(F.ceil(F.lit(f) * F.col("total")).cast("long"), F.lit(1).cast("long")) for f in fractions.values()]
+    asked = F.lit(False)
+    for rank in needed:
+        asked = asked | ((rank > F.col("base")) & (rank <= F.col("base") + F.col("n")))
+    # at most one range per fraction
+    bases = F.broadcast(bases.where(asked).drop("n"))
     inside = (
         Window.partitionBy("class")
         .orderBy("value")
@@ -72,13 +81,8 @@ def nearest_rank(values: DataFrame, value: str, fractions: dict[str, float]) ->
     )
     wanted = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("metric"),
-                F.greatest(
-                    F.ceil(F.lit(fraction) * F.col("total")).cast("long"), F.lit(1).cast("long")
-                ).alias("needed"),
-            )
-            for name, fraction in fractions.items()
+            F.struct(F.lit(name).alias("metric"), rank.alias("needed"))
+            for name, rank in zip(fractions, needed)
         ]
     )
     hits = F.filter(

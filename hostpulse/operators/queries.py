@@ -61,10 +61,21 @@ def find_events(
     to: datetime | Column | None = None,
     limit: int = 50,
     offset: int = 0,
+    after: tuple[datetime | Column, int | Column] | None = None,
 ) -> DataFrame:
-    """A page of events, newest first, with inclusive time bounds."""
+    """A page of events, newest first, with inclusive time bounds.
+
+    ``after`` is the (event_timestamp, ingest_seq) of the last row of the page before: what follows it is found by a predicate that
+    reaches the scan, so that a page far down costs no more than the first.  With ``offset`` a task keeps the skipped rows too.
+    """
     _checked_page(limit, offset)
     rows = _filtered(tel, level, host_id, frm, to)
+    if after is not None:
+        if offset:
+            raise ValueError("a page follows either a row or an offset")
+        time, seq = (x if isinstance(x, Column) else F.lit(x) for x in (_instant(after[0]), after[1]))
+        same = F.col("event_timestamp") == time
+        rows = rows.where((F.col("event_timestamp") <= time) & (~same | (F.col("ingest_seq") < seq)))
     return rows.orderBy(*_newest_first()).offset(offset).limit(limit)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostpulse import schemas as S
 from hostpulse.functions import first_reason, is_blank, utf16_length
+from hostpulse.operators.asof import as_of
 from hostpulse.operators.lookup import lookup
 
 # Refusal reasons for a rule change.
@@ -151,9 +154,61 @@ def rules_by_host(
     )
 
 
+@dataclass(frozen=True)
+class RuleLog:
+    """The change log of the rules instead of their last state: every row is judged by the rules in force when it came.
+
+    ``log`` is what ``upsert_rules`` takes, with ``order``: the arrival number after which a change counts, in the numbers of the rows that
+    are judged.  ``slice_rows`` is how many rows share a task for the fleet-wide rules, which are one key for all rows.
+    """
+
+    log: DataFrame
+    order: str = "ingest_seq"
+    window: int = S.WINDOW
+    slice_rows: int = 1_000_000
+
+    def accepted(self) -> DataFrame:
+        """(scope, rule_type, order, rule): the rule after each accepted change, its threshold null where it was deleted."""
+        deleted = F.coalesce("deleted", F.lit(False)) if "deleted" in self.log.columns else F.lit(False)
+        reason = F.coalesce(scope_reason(), F.when(~deleted, _threshold_reason(self.window)))
+        rule = F.struct(
+            F.when(~deleted, F.col("threshold").cast("double")).alias("threshold"),
+            F.coalesce("enabled", F.lit(True)).alias("enabled"),
+        )
+        made = self.log.select(_scope().alias("scope"), "rule_type", self.order, rule.alias("rule"), reason.alias("reason"))
+        return made.where(F.col("reason").isNull()).drop("reason")
+
+
+def _with_rules_as_of(
+    rows: DataFrame, changes: RuleLog, *, defaults: dict[str, float] | None, rule_types: tuple[str, ...]
+) -> DataFrame:
+    """``with_effective_rules`` by two as-of joins, one on the host and one over all rows."""
+    values = {**S.DEFAULT_THRESHOLDS, **(defaults or {})}
+    accepted = changes.accepted().where(F.col("rule_type").isin(*rule_types))
+    of_type = lambda t: F.when(F.col("rule_type") == t, F.col("rule"))
+    order = changes.order
+    own = accepted.where(F.col("scope") != S.FLEET_SCOPE).withColumnRenamed("scope", "host_id")
+    joined = as_of(rows, own, "host_id", order, {f"host_{t}": of_type(t) for t in rule_types})
+    general = accepted.where(F.col("scope") == S.FLEET_SCOPE)
+    joined = as_of(
+        joined.withColumn("scope", F.lit(S.FLEET_SCOPE)), general, "scope", order,
+        {f"fleet_{t}": of_type(t) for t in rule_types}, target=changes.slice_rows,
+    )
+    for t in rule_types:
+        default = F.struct(F.lit(float(values[t])).alias("threshold"), F.lit(True).alias("enabled"), F.lit("default").alias("source"))
+        own_rule, fleet_rule = F.col(f"host_{t}"), F.col(f"fleet_{t}")
+        joined = joined.withColumn(
+            f"rule_{t}",
+            F.when(own_rule["threshold"].isNotNull(), _tier(own_rule, "host"))
+            .when(fleet_rule["threshold"].isNotNull(), _tier(fleet_rule, "fleet"))
+            .otherwise(default),
+        )
+    return joined.drop("scope", *(f"{tier}_{t}" for t in rule_types for tier in ("host", "fleet")))
+
+
 def with_effective_rules(
     rows: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | RuleLog,
     *,
     spread: str,
     defaults: dict[str, float] | None = None,
@@ -163,7 +218,10 @@ def with_effective_rules(
 
     The most specific tier wins as a whole: a disabled host rule still beats a fleet rule.  Host
     rules come from a size-checked lookup, the fleet rules (one per type) are one scalar subquery.
+    With a ``RuleLog`` the rules are those of each row's own time.
     """
+    if isinstance(rules, RuleLog):
+        return _with_rules_as_of(rows, rules, defaults=defaults, rule_types=rule_types)
     values = {**S.DEFAULT_THRESHOLDS, **(defaults or {})}
     joined = lookup(
         rows, rules_by_host(rules, rule_types=rule_types), "host_id", spread=spread
@@ -200,6 +258,21 @@ def _tier(rule: Column, source: str) -> Column:
     )
 
 
+def effective_rules_as_of(
+    rows: DataFrame,
+    changes: RuleLog,
+    *,
+    defaults: dict[str, float] | None = None,
+    rule_types: tuple[str, ...] = S.RULE_TYPES,
+) -> DataFrame:
+    """Per row (host_id and the order of arrival) and rule type the threshold that applied when it came, and its tier."""
+    applied = _with_rules_as_of(rows.select("host_id", changes.order), changes, defaults=defaults, rule_types=rule_types)
+    each = [F.struct(F.lit(t).alias("rule_type"), F.col(f"rule_{t}").alias("rule")) for t in rule_types]
+    return applied.select("host_id", changes.order, F.inline(F.array(*each))).select(
+        "host_id", changes.order, "rule_type", "rule.threshold", "rule.enabled", "rule.source"
+    )
+
+
 def effective_rules(
     hosts: DataFrame,
     rules: DataFrame,

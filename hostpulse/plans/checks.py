@@ -206,6 +206,47 @@ SELECT alert_key, alert_type, host_id, status, first_seen, last_seen, occurrence
   FROM transitions) AS ranked WHERE rn = 1
 """
 
+# The rules as of each event: a change counts for what arrives after it.
+CTES["rule_changes"] = """
+SELECT rule_type, coalesce(host_id, '*') AS scope, version * 10 + 1 AS changed,
+  CASE WHEN NOT deleted THEN threshold END AS threshold, coalesce(enabled, true) AS enabled
+FROM rule_reasons WHERE scope_reason IS NULL AND (deleted OR threshold_reason IS NULL)
+"""
+CTES["effective_asof"] = """
+SELECT e.host_id, e.ingest_seq, e.rule_type,
+  CASE WHEN o.threshold IS NOT NULL THEN o.threshold WHEN f.threshold IS NOT NULL THEN f.threshold
+       ELSE e.threshold END AS threshold,
+  CASE WHEN o.threshold IS NOT NULL THEN o.enabled WHEN f.threshold IS NOT NULL THEN f.enabled
+       ELSE true END AS enabled,
+  CASE WHEN o.threshold IS NOT NULL THEN 'host' WHEN f.threshold IS NOT NULL THEN 'fleet'
+       ELSE 'default' END AS source
+FROM (SELECT v.host_id, v.ingest_seq, d.rule_type, d.threshold FROM evals v CROSS JOIN rule_defaults d) AS e
+ASOF LEFT JOIN rule_changes o
+  ON o.rule_type = e.rule_type AND o.scope = e.host_id AND e.ingest_seq > o.changed
+ASOF LEFT JOIN (SELECT * FROM rule_changes WHERE scope = '*') AS f
+  ON f.rule_type = e.rule_type AND e.ingest_seq > f.changed
+"""
+
+
+def _as_of(name: str, *replaced: str) -> None:
+    """The expression ``name`` again, over the as-of variants of those it reads."""
+    text = CTES[name].replace("effective r ON r.host_id = ", "effective_asof r ON r.ingest_seq = ")
+    text = re.sub(r"(r\.ingest_seq = [ce])\.host_id", r"\1.ingest_seq", text)
+    for other in replaced:
+        text = re.sub(rf"\b{other}\b", f"{other}_asof", text)
+    CTES[f"{name}_asof"] = text
+
+
+_JUDGED = ("cpu_signals", "ram_signals", "disk_level_signals", "repeat_signals")
+for _name in _JUDGED:
+    _as_of(_name)
+CTES["delivery_signals_asof"] = "\nUNION ALL BY NAME\n".join(
+    f"SELECT * FROM {p}" for p in (*(f"{n}_asof" for n in _JUDGED), "recovery_signals")
+)
+CTES["all_signals_asof"] = "SELECT * FROM delivery_signals_asof"
+for _name, _reads in (("fold_1", "all_signals"), ("fold_2", "fold_1"), ("fold_3", "fold_2"), ("transitions", "fold_3")):
+    _as_of(_name, _reads)
+
 _WORD = re.compile(r"[a-z_0-9]+")
 _KEYWORD = re.compile(r"\bat\b(?! most)")
 

@@ -10,6 +10,7 @@ from hostpulse.operators.queries import host_rollup
 from hostpulse.plans import fixtures
 from hostpulse.plans.checks import NOW, check
 from hostpulse.plans.registry import query
+from hostpulse.plans.rulebook import rule_log
 from hostpulse.sources import materialize
 
 
@@ -103,6 +104,14 @@ def _(spark, sf):
     return _plain(D.threshold_signals(evaluated(spark, sf), fixtures.rules(spark, sf)))
 
 
+@query(
+    "threshold_signals_asof",
+    check(_SIGNAL + "(SELECT * FROM cpu_signals_asof UNION ALL SELECT * FROM ram_signals_asof) AS s"),
+)
+def _(spark, sf):
+    return _plain(D.threshold_signals(evaluated(spark, sf), rule_log(spark, sf)))
+
+
 @query("disk_signals", check(_SIGNAL + "disk_level_signals"))
 def _(spark, sf):
     return _plain(D.disk_signals(evaluated(spark, sf), fixtures.rules(spark, sf)))

@@ -10,6 +10,7 @@ from hostpulse.plans import fixtures
 from hostpulse.plans.checks import check
 from hostpulse.plans.detection import _SIGNAL, _plain, evaluated, sweep
 from hostpulse.plans.registry import query
+from hostpulse.plans.rulebook import rule_log
 from hostpulse.sources import materialize
 
 
@@ -52,6 +53,13 @@ def alert_transitions(spark, sf):
     return L.alert_transitions(log).drop("message")
 
 
+@query("alert_transitions_asof", check(_TRANSITION.replace("FROM transitions", "FROM transitions_asof")))
+def _(spark, sf):
+    """Transitions of all deliveries, each judged by the rules in force when it arrived."""
+    log = materialize(D.delivery_signals(evaluated(spark, sf), rule_log(spark, sf)), "signals")
+    return L.alert_transitions(log).drop("message")
+
+
 _ALERT = (
     "SELECT alert_key, alert_type, host_id, status, first_seen, last_seen, occurrence_count "
     "FROM alerts"

@@ -87,6 +87,21 @@ def _(spark, sf):
     return R.effective_rules(hosts, fixtures.rules(spark, sf))
 
 
+def rule_log(spark, sf):
+    """All change requests; each counts for the events that arrive after the one it stands for."""
+    return R.RuleLog(requests(spark, sf).withColumn("ingest_seq", F.col("version") * 10 + 1))
+
+
+@query(
+    "effective_rules_asof",
+    check("SELECT host_id, ingest_seq, rule_type, threshold, enabled, source FROM effective_asof"),
+)
+def _(spark, sf):
+    from hostpulse.plans.detection import evaluated
+
+    return R.effective_rules_as_of(evaluated(spark, sf), rule_log(spark, sf))
+
+
 @query(
     "unreachable_rules",
     check("""
