@@ -171,7 +171,7 @@ def _shape(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     In the first turn the members that meet most others in all their buckets go first: the text that many were copied
     from shares more bands with each of them than they do with each other.  Later it is one of the largest class.
     """
-    order = F.struct((F.lit(0) if turn else -F.col("met")).cast("long").alias("met"), F.xxhash64(F.lit(turn), "band", "id").alias("o"), "id")
+    order = F.struct((F.lit(0) if turn else -F.col("met")).cast("long").alias("met"), F.xxhash64(F.lit(turn), "id").alias("o"), "id")
     of_class = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m"))
     leader = F.max_by("m", F.struct("n", "label")) if turn else F.min("m")
     mixed = of_class.groupBy("band").agg(
