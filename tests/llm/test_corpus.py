@@ -300,17 +300,18 @@ def test_chain_of_near_copies(spark):
     assert got == {-1: -1} | dict.fromkeys(ids, min(ids))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 700, 10**6])
+def test_components(spark, few):
     rng = random.Random(23)
     nodes = rng.sample(range(-(10**9), 10**9), 3000)
     chain, star, ring = nodes[:2000], nodes[2000:2500], nodes[2500:2900]
     links = [*zip(chain, chain[1:]), *((star[0], x) for x in star), *zip(ring, ring[1:] + ring[:1])]
     links += [(b, a) for a, b in links[::3]] + links[::5] + [(x, x) for x in nodes[2900:2910]]
     want = {x: min(part) for part in (chain, star, ring) for x in part} | {x: x for x in nodes[2900:2910]}
-    got = components(spark.createDataFrame(rng.sample(links, len(links)), "a long, b long")).collect()
+    got = components(spark.createDataFrame(rng.sample(links, len(links)), "a long, b long"), few=few).collect()
     assert len(got) == len(want)
     assert {r["node"]: r["label"] for r in got} == want
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_decontamination(spark):
