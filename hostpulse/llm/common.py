@@ -60,6 +60,13 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of the table is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def text_bytes(df: DataFrame, column: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column, as two numbers on the driver."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()

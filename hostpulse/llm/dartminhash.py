@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import flat, mix, pieces, spans_to_index, splits, staged
+from hostpulse.llm.common import flat, mix, pieces, spans_to_index, splits, staged, unused
 from hostpulse.llm.components import components
 from hostpulse.llm.shingles import Shingler
 
@@ -398,7 +398,8 @@ def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
         first.groupBy("class_key", F.col("doc_id").alias("_k_id")).agg(F.min("text_hash").alias("_k_hash")).select("_k_id", "_k_hash").distinct(),
         "kept-ids",
     )
-    same = docs[id_col].eqNullSafe(F.col("_k_id")) & (F.xxhash64(docs[text_col]) == F.col("_k_hash"))
+    one = one.toDF(*(unused(docs, c) for c in ("kept_id", "kept_hash")))
+    same = docs[id_col].eqNullSafe(one[one.columns[0]]) & (F.xxhash64(docs[text_col]) == one[one.columns[1]])
     kept = docs.join(one, same, "left_semi")
     repeated = classes.groupBy("doc_id", "text_hash").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

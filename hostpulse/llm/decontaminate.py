@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import bounded, staged
+from hostpulse.llm.common import bounded, staged, unused
 
 #: Positions that each mask reads; the others are ignored.  Every window of 13 tokens with up to two
 #: substituted ones holds a place where each position of at least one mask is untouched.
@@ -137,6 +137,7 @@ def overlaps(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without a verified overlap, all columns kept, nulls and repeated rows included."""
     found = overlaps(docs, benchmark, text_col=text_col, id_col=id_col, **options)
-    leaked = staged(found.select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct(), "leaks")
-    same = docs[id_col].eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs[text_col]) == F.col("_leak_hash"))
+    leaked = staged(found.select("doc_id", "text_hash").distinct(), "leaks")
+    leaked = leaked.toDF(*(unused(docs, c) for c in ("leak_id", "leak_hash")))
+    same = docs[id_col].eqNullSafe(leaked[leaked.columns[0]]) & (F.xxhash64(docs[text_col]) == leaked[leaked.columns[1]])
     return docs.join(bounded(leaked), same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import staged
+from hostpulse.llm.common import staged, unused
 
 #: The base kinds, in order, as (kind, pattern, group of the secret, least length of that group).
 BASE = (
@@ -178,15 +178,16 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     """
     scanned = scan_secrets(docs, text_col=text_col, id_col=id_col, **options)
     spans = F.array_sort(F.concat("base", "added"))
+    s_id, s_hash, s_spans = (unused(docs, c) for c in ("span_id", "span_hash", "spans"))
     hits = staged(
-        scanned.select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), spans.alias("_spans"))
-        .where(F.size("_spans") > 0)
-        .dropDuplicates(["_s_id", "_s_hash"]),
+        scanned.select(F.col("doc_id").alias(s_id), F.col("text_hash").alias(s_hash), spans.alias(s_spans))
+        .where(F.size(s_spans) > 0)
+        .dropDuplicates([s_id, s_hash]),
         "secret-spans",
     )
-    same = docs[id_col].eqNullSafe(F.col("_s_id")) & (F.xxhash64(docs[text_col]) == F.col("_s_hash"))
+    same = docs[id_col].eqNullSafe(F.col(s_id)) & (F.xxhash64(docs[text_col]) == F.col(s_hash))
     text = docs[text_col]
-    reach = running(F.transform("_spans", lambda s: s["byte_stop"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    reach = running(F.transform(s_spans, lambda s: s["byte_stop"]), lambda a, x: F.greatest(a, x), F.lit(0))
 
     def masked(bytes_: Column, ends: Column) -> Column:
         """What lies between the spans, cut from the bytes (a string would be counted through from its start each time)."""
@@ -195,8 +196,8 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
             s["byte"] >= before(i), F.concat(F.substring(bytes_, before(i) + 1, s["byte"] - before(i)).cast("string"), F.lit(mark))
         ).otherwise(F.lit(""))
         last = F.element_at(ends, -1)
-        return F.concat(F.array_join(F.transform("_spans", part), ""), F.substring(bytes_, last + 1, F.length(bytes_)).cast("string"))
+        return F.concat(F.array_join(F.transform(s_spans, part), ""), F.substring(bytes_, last + 1, F.length(bytes_)).cast("string"))
 
     cut = let(text.cast("binary"), lambda b: let(reach, lambda ends: masked(b, ends)))
     joined = docs.join(hits, same, "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut).otherwise(text)).drop("_s_id", "_s_hash", "_spans")
+    return joined.withColumn(text_col, F.when(F.col(s_spans).isNotNull(), cut).otherwise(text)).drop(s_id, s_hash, s_spans)
