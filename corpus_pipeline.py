@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostpulse.llm import bpe, dartminhash, decontaminate, quality, secrets
-from hostpulse.llm.common import staged, table
+from hostpulse.llm.common import staged, table, unused
 from hostpulse.llm.queries import TOKENIZER, training_row
 
 
@@ -18,38 +18,49 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier accepts; without any labelled row, all of them.
 
     It is fitted on the training rows of ``labels`` among the documents.  A null or empty text gets the score of the
-    classifier's bias.
+    classifier's bias; rows that repeat are judged alike, and null ids like any other.  Texts are read whole, however long.
     """
     labels = table(spark, sf_dir, "labels")
     usable = training_row() & F.col("quality").isin(0, 1)
     if labels.where(usable).isEmpty():
         return docs
     model = quality.fit_quality(docs, labels, usable=training_row())
-    scored = quality.score_quality(docs, model, score_col="_quality")
-    return scored.where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "quality_score")
+    scored = quality.score_quality(docs, model, score_col=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest id."""
+    """One document of each near-duplicate class: the one with the smallest id.
+
+    Null and empty texts are classes of their own; of rows that repeat an id and its text one stays, as of a class without any id.
+    """
     return dartminhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Null and empty texts stay; rows that repeat an id and its text stay or go together.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; ``n_chars`` follows the text where it changed."""
-    masked = secrets.mask_secrets(docs.withColumn("_before", F.length("text")))
+    """All documents, secrets replaced by a mark; ``n_chars`` follows the text where it changed.
+
+    Null and empty texts, and those without secrets, stay as they are; rows that repeat are masked alike.
+    """
+    before = unused(docs, "length_before")
+    masked = secrets.mask_secrets(docs.withColumn(before, F.length("text")))
     if "n_chars" in docs.columns:
-        changed = ~F.length("text").eqNullSafe(F.col("_before"))
+        changed = ~F.length("text").eqNullSafe(F.col(before))
         masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, their number, and the digest of the text that they decode to."""
+    """Token ids of every document, their number, and the digest of the text that they decode to; null texts count as empty."""
     coded = bpe.decode_bpe(bpe.encode_bpe(docs.select("doc_id", "text"), TOKENIZER), TOKENIZER)
     return coded.select(
         "doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
