@@ -138,3 +138,22 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return D.silent_agents(sweep(spark, sf, fixtures.rules(spark, sf)))
+
+
+@query(
+    "alert_messages",
+    check("""
+SELECT 'repeated-error-' || sha256(c.message) || '@' || c.host_id AS alert_key, c.ingest_seq,
+  c.message || ' occurred ' || CAST(c.times AS BIGINT) || ' times' AS message
+FROM repeat_counts c JOIN effective r ON r.host_id = c.host_id AND r.rule_type = 'REPEATED_ERROR'
+WHERE r.enabled AND c.times >= r.threshold
+UNION ALL
+SELECT alert_key, ingest_seq, 'no events for ' || CAST(value AS BIGINT) || ' minutes (threshold '
+  || CAST(threshold AS BIGINT) || ')' FROM silence WHERE kind = 'BREACH'"""),
+)
+def _(spark, sf):
+    """Texts made of whole numbers; those with rounded percentages are left to the unit tests."""
+    rules = fixtures.rules(spark, sf)
+    repeats = D.repeated_error_signals(evaluated(spark, sf), rules)
+    silences = sweep(spark, sf, rules).where(F.col("kind") == "BREACH")
+    return repeats.unionByName(silences).select("alert_key", "ingest_seq", "message")

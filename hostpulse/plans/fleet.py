@@ -64,6 +64,22 @@ def _(spark, sf):
     return Q.count_events(tel(spark, sf), host_id="host-3", frm=at(FROM))
 
 
+@query(
+    "find_events_after",
+    check("""
+SELECT ingest_seq, event_id, event_timestamp FROM telemetry
+ORDER BY event_timestamp DESC, ingest_seq DESC LIMIT 50 OFFSET 150"""),
+)
+def _(spark, sf):
+    """The fourth page, each found from the last row of the one before."""
+    rows, after = tel(spark, sf), None
+    for _ in range(3):
+        page = Q.find_events(rows, after=after)
+        last = page.orderBy("event_timestamp", "ingest_seq").limit(1)
+        after = tuple(last.select(c).scalar() for c in ("event_timestamp", "ingest_seq"))
+    return Q.find_events(rows, after=after).select("ingest_seq", "event_id", "event_timestamp")
+
+
 @query(
     "events_page",
     check("""

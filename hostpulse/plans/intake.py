@@ -71,7 +71,8 @@ def shared_hash(spark) -> str:
     "read_raw_events",
     check("""
 SELECT '{"event_id":"' || event_id || '","msg":"' || message || '"}' AS value,
-  CAST(length(event_id) + length(message) + 24 AS INTEGER) AS bytes FROM telemetry"""),
+  CAST(length(event_id) + length(message) + 24 AS INTEGER) AS bytes,
+  row_number() OVER (ORDER BY ingest_seq) - 1 AS ingest_seq FROM telemetry"""),
 )
 def _(spark, sf):
     path = _scratch(spark, "lines")
@@ -82,7 +83,7 @@ def _(spark, sf):
     lines.repartitionByRange(8, "ingest_seq").sortWithinPartitions("ingest_seq").select(
         "value"
     ).write.text(path)
-    return read_raw_events(spark, path).select("value", F.octet_length("value").alias("bytes"))
+    return read_raw_events(spark, path).select("value", F.octet_length("value").alias("bytes"), "ingest_seq")
 
 
 @query(

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pytest
 from conftest import event, no_rules, telemetry
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_queries import compare, connect
 from hostpulse.operators import detect as D
 from hostpulse.operators import lifecycle as L
 from hostpulse.operators import queries as Q
 from hostpulse.operators import rules as R
 from hostpulse.operators.ingest import dedupe_events
+from hostpulse.plans import CHECKS, QUERIES
 from hostpulse.sources import drop_stages, materialize
 from hostpulse.sources.tables import subfolders
 
@@ -24,14 +25,14 @@ def duck():
     return connect("/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_its_sql(spark, duck, sf_dir, name):
-    problem = compare(spark, duck, name, queries()[name], oracle_sql().get(name), sf_dir)
+    problem = compare(spark, duck, name, QUERIES[name], CHECKS.get(name), sf_dir)
     assert problem in (("", "equal but empty") if name in MAY_BE_EMPTY else ("",)), problem
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(CHECKS) == set(QUERIES)
 
 
 def test_entry(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hostpulse.operators import detect, ingest, lifecycle
 from hostpulse.sources import read_raw_events, replay_queue
 from hostpulse import schemas as S
-from hostpulse.sources import prune_table
+from hostpulse.sources import materialize, prune_table
 from hostpulse.sources.raw import ROW_BITS, SUBMISSION_COLUMNS, number_batch
 from hostpulse.streaming import Fleet, start_fleet, stream_new_events, sweep_once
 
@@ -281,3 +281,78 @@ def test_numbers_follow_whatever_came_before(spark):
         assert len(set(numbers)) == 3 and numbers[0] > after
     with pytest.raises(Exception, match="does not fit"):
         number_batch(batch, (1 << 63) - 1).collect()
+
+
+def _numbered(spark, lines, **columns):
+    """Submissions as a stream hands them to a batch; columns not named are unset."""
+    rows = spark.createDataFrame([(line, "f", 0) for line in lines], "value string, file string, split_start long").coalesce(1)
+    told = {name: columns.get(name, F.lit(None).cast("string")) for name in SUBMISSION_COLUMNS}
+    return rows.select("*", columns.get("received_at", F.current_timestamp()).alias("received_at"), *(c.alias(n) for n, c in told.items()))
+
+
+def test_a_repeated_batch_neither_counts_nor_sweeps_again(spark, tmp_path):
+    from hostpulse.streaming.fleet import process_batch
+
+    fleet = Fleet(str(tmp_path / "fleet"), id_buckets=4, retention_days=30)
+    batch = _numbered(spark, [_event("one", "q", 0)])
+    late = F.lit(START + timedelta(hours=2))
+
+    def state():
+        alert = fleet.alerts(spark).where("alert_key = 'agent-silent@q'").first()
+        return alert["occurrence_count"], fleet.transitions(spark).count(), fleet.telemetry(spark).count(), fleet.finished(spark)
+
+    process_batch(fleet, batch, 0, now=late)
+    once = state()
+    assert once[0] == 1 and once[2] == 1
+    process_batch(fleet, batch, 0, now=late)
+    assert state() == once
+    process_batch(fleet, _numbered(spark, [_event("one", "q", 0), _event("two", "q", 60 * 24 * 40), "{"]), 1, now=F.lit(START + timedelta(days=41)))
+    assert {(r["outcome"], r["reason"], r["n"]) for r in fleet.outcomes(spark).collect()} == {
+        ("received", None, 2), ("duplicate", None, 1), ("rejected", ingest.INVALID_JSON, 1)
+    }
+    # the batch's clock is 41 days on: retention has taken the first event
+    assert [r["event_id"] for r in fleet.telemetry(spark).collect()] == ["two"]
+
+
+def test_admission_rules_and_notifications_of_the_stream_equal_one_batch(spark, tmp_path):
+    """Three batches with a rule change and a delivery between them, against the batch operators on all submissions."""
+    from hostpulse.operators import notify
+    from hostpulse.operators.rules import RuleLog
+    from hostpulse.streaming.fleet import process_batch
+
+    rules, log = str(tmp_path / "rules"), str(tmp_path / "deliveries")
+    spark.createDataFrame([(1, "cpu-high@h", "alert.opened", "DELIVERED", 200, None, 1, START + timedelta(minutes=3))], S.DELIVERIES).withColumn(
+        "event_date", F.to_date("attempted_at")
+    ).write.partitionBy("event_date").parquet(log)
+    no_rules(spark).write.parquet(rules)
+    fleet = Fleet(str(tmp_path / "fleet"), rules=rules, deliveries=log, max_requests=1, window_ms=600_000, id_buckets=4)
+    bodies = [
+        json.dumps({"event_id": f"e{i}", "host_id": "h", "level": "INFO", "msg": "m", "cpu_usage": 95, "ram_usage": 1,
+                    "timestamp": (START + timedelta(minutes=4 * i)).isoformat() + "Z"}) for i in range(30)
+    ]
+    method = {"http_method": F.lit("POST"), "content_type": F.lit("application/json")}
+    client = F.concat(F.lit("c"), (F.get_json_object("value", "$.event_id").substr(2, 9).cast("int") % 2).cast("string"))
+    at = F.get_json_object("value", "$.timestamp").cast("timestamp")
+    table = lambda part: _numbered(spark, part, client=client, received_at=at, **method)
+    for number, (low, high) in enumerate([(0, 8), (8, 20), (20, 30)]):
+        if number == 1:
+            changed = spark.createDataFrame([("HIGH_CPU", "h", 99.0, True, START)], S.RULES)
+            changed.write.mode("overwrite").parquet(rules)
+        process_batch(fleet, table(bodies[low:high]), number)
+    whole = table(bodies).withColumn("ingest_seq", F.get_json_object("value", "$.event_id").substr(2, 9).cast("long")).withColumn("method", F.lit("open"))
+    whole = materialize(whole, "whole")
+    limited = ingest.limit_requests(ingest.asked_requests(whole), max_requests=1, window_ms=600_000, target=None)
+    admitted = materialize(ingest.admission_reason(ingest.admitted_bodies(whole, limited, max_requests=1)).drop("j"), "admitted")
+    accepted = admitted.where("reason IS NULL").withColumn("j", F.try_parse_json("value"))
+    deliveries = materialize(ingest.dedupe_events(ingest.normalize_events(accepted)), "deliveries")
+    change = spark.createDataFrame([(1, "HIGH_CPU", "h", 99.0, True, False, 7)], "version long, rule_type string, host_id string, threshold double, enabled boolean, deleted boolean, ingest_seq long")
+    evals = materialize(detect.evaluations(deliveries, target=None), "evaluations")
+    signals = materialize(detect.delivery_signals(evals, RuleLog(change)), "signals")
+    transitions = materialize(lifecycle.alert_transitions(signals, target=None), "transitions")
+    assert _plain(fleet.transitions(spark)) == _plain(transitions)
+    refused = admitted.where("reason IS NOT NULL")
+    assert fleet.rejected(spark).count() == refused.count() > 0
+    outbox = notify.notification_outbox(notify.notification_policy(transitions, spark.read.parquet(log), target=None))
+    payloads = lambda box: sorted(r["payload"] for r in box.collect())
+    assert payloads(fleet.outbox(spark)) == payloads(outbox)
+    assert any("alert.reminder" in p for p in payloads(outbox))
