@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostpulse.session import shared_dir
-from hostpulse.sources.tables import delete_folder
+from hostpulse.sources.tables import delete_folder, folder_uri
 
 #: Text bytes that a Python worker turns into arrays at once; a longer text is a piece of its own.
 PIECE_BYTES = 256 << 10
@@ -22,13 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder_uri(spark: SparkSession, path: str) -> str:
-    """A folder with the scheme that the cluster's file system gives it, so that Spark and Python workers mean the same one."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return re.sub("^file:/+", "file:///", files.makeQualified(folder).toString())
-
-
 def stages_folder(spark: SparkSession) -> str:
     return folder_uri(spark, f"{shared_dir(spark)}/corpus/{spark.sparkContext.applicationId}")
 

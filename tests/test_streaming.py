@@ -151,6 +151,35 @@ def test_outage_queue_is_replayed_without_loss(spark, tmp_path):
     assert stored.where("event_id = 'e7'").first()["correlation_id"] == "c7"
 
 
+def test_queue_of_many_files(spark, tmp_path):
+    """Ranks follow the file names over several ranges; every file is read, and none of the sorting is one task's."""
+    for i in range(60):
+        folder = tmp_path / f"agent {i % 7}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"event-{1000 - i}-{i}.json").write_text(f"{i}")
+    (tmp_path / "agent 0" / "event-1.json.tmp").write_text("{")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges for few rows
+    try:
+        pending = replay_queue(spark, str(tmp_path), recursive=True)
+        got = [(r["ingest_seq"], r["value"]) for r in pending.orderBy("ingest_seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    names = sorted((f"event-{1000 - i}-{i}.json", str(i)) for i in range(60))
+    assert got == [(n, value) for n, (_, value) in enumerate(names, 1)]
+
+
+def test_queue_fixture_is_written_by_many_tasks(spark, tmp_path):
+    from hostpulse.plans import fixtures
+
+    rows = [(f"host-{i}", i, f'{{"event_id":"e{i}"}}') for i in range(500)] + [(None, 7, "{}")]
+    schema = "host_id string, ingest_seq long, value string"
+    fixtures.write_queue(spark.createDataFrame(rows, schema), str(tmp_path / "queue"))
+    assert len(list((tmp_path / "queue").iterdir())) > 32
+    found = replay_queue(spark, str(tmp_path / "queue"), recursive=True)
+    assert sorted(r["value"] for r in found.collect()) == sorted(value for _, _, value in rows)
+
+
 def test_stateful_dedupe(spark, tmp_path):
     rows = [("a", 1, START), ("b", 2, START)]
     schema = "event_id string, n int, event_timestamp timestamp"
