@@ -61,7 +61,9 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and the digest of the text that they decode to; null texts count as empty."""
-    coded = bpe.decode_bpe(bpe.encode_bpe(docs.select("doc_id", "text"), TOKENIZER), TOKENIZER)
+    # the texts themselves end here: they need not go through a second worker
+    encoded = bpe.encode_bpe(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
+    coded = bpe.decode_bpe(encoded, TOKENIZER)
     return coded.select(
         "doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

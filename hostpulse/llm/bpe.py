@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from hostpulse.llm.common import pieces
-from hostpulse.llm.words import Splitter, WordIds, byte_alphabet
+from hostpulse.llm.words import Splitter, WordIds, byte_alphabet, read_config
 
 _NONE = np.int64(1 << 40)
 
@@ -122,6 +123,7 @@ def encode_bpe(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(tokenizer)
         encode = WordIds(Merges(split.config))
+        del split.config  # tens of MB in every worker
         for batch in batches:
             for piece in pieces(batch, text_col):
                 words = split(piece.column(text_col))
@@ -135,6 +137,17 @@ def encode_bpe(df: DataFrame, tokenizer: str, *, text_col: str = "text", ids_col
     return df.mapInArrow(run, schema)
 
 
+def id_strings(tokenizer: str) -> dict[int, str]:
+    """The string of every id, added tokens included; nothing for a file that names a decoder.
+
+    Read from the file alone: the library's own tables take several times as much memory, in every worker.
+    """
+    config = read_config(tokenizer)
+    if config.get("decoder") is not None:
+        return {}
+    return {i: s for s, i in config["model"]["vocab"].items()} | {t["id"]: t["content"] for t in config.get("added_tokens", [])}
+
+
 def decode_bpe(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text that the tokenizer file's decoder gives for a column of ids.
 
@@ -146,14 +159,13 @@ def decode_bpe(df: DataFrame, tokenizer: str, *, ids_col: str = "ids", text_col:
     kept = [f.name for f in schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(tokenizer)
-        plain = split.config.get("decoder") is None
-        strings = {i: s for s, i in split.library.get_vocab(with_added_tokens=True).items()}
+        strings = id_strings(tokenizer)
+        library = None if strings else Tokenizer.from_file(tokenizer)
 
         def text(raw: bytes) -> str:
             ids = np.frombuffer(raw, "<u4").tolist()
-            if not plain:
-                return split.library.decode(ids, skip_special_tokens=False)
+            if library:
+                return library.decode(ids, skip_special_tokens=False)
             try:
                 return " ".join([strings[i] for i in ids])
             except KeyError:

@@ -12,6 +12,7 @@ import sys
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -80,6 +81,11 @@ class Words:
         return out
 
 
+def read_config(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 class Splitter:
     """Cuts texts into the words that a tokenizer file's normaliser and pre-tokenizer make of them.
 
@@ -88,9 +94,8 @@ class Splitter:
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            self.config = json.load(file)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
+        self.config = read_config(path)
         self.kinds, self.lower = _tables()
         self.mixed = mix(np.arange(LIMIT + 1, dtype=np.uint64) + np.uint64(1))
         steps = [n["type"] for n in (self.config.get("normalizer") or {}).get("normalizers", [])]
@@ -101,6 +106,11 @@ class Splitter:
         self.marks = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.bytes_of = {v: k for k, v in byte_alphabet().items()}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Loaded by the first text that needs it."""
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, texts: pa.Array) -> Words:
         points, offsets = code_points(texts)
         at = np.minimum(points, LIMIT)
@@ -206,8 +216,28 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Growing:
+    """An array that more values are added to."""
+
+    def __init__(self, kind: type):
+        self.room, self.used = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.room):
+            room = np.zeros(end + (end >> 2), self.room.dtype)
+            room[: self.used] = self.values
+            self.room = room
+        self.room[self.used : end] = values
+        self.used = end
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.used]
+
+
 class WordIds:
-    """Token ids per distinct word, remembered within a task by the word itself.
+    """Token ids per distinct word, remembered within a task in arrays: found by its hash, compared by its code points.
 
     ``encode`` gets the strings of new words and returns their ids, one array for all, and their counts.
     """
@@ -217,38 +247,70 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-
-    def _entries(self, strings: list[str]) -> np.ndarray:
-        """Where the ids of distinct words are."""
-        new = [s for s in strings if s not in self.known]
-        if new:
-            ids, counts = self.encode(new)
-            self.known.update(zip(new, range(len(self.counts), len(self.counts) + len(new))))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
-            self.counts = np.append(self.counts, counts)
-            self.ids = np.append(self.ids, ids.astype(np.uint32))
-        return np.fromiter((self.known[s] for s in strings), np.int64, len(strings))
+        self.size = 0  # distinct words
+        self.hashes = np.zeros(0, np.uint64)  # sorted, with the number of the word of each
+        self.entries = np.zeros(0, np.int64)
+        self.spelled, self.points = Growing(np.int64), Growing(np.uint32)
+        self.ends, self.ids = Growing(np.int64), Growing(np.uint32)
+        self.spelled.add(np.zeros(1, np.int64))
+        self.ends.add(np.zeros(1, np.int64))
+
+    def _find(self, words: Words, chosen: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, -1 where its hash is new; and whether another word has its hash."""
+        found = np.full(len(chosen), -1, np.int64)
+        if not self.size:
+            return found, np.zeros(len(chosen), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        found[hit] = self.entries[at[hit]]
+        first, known = words.starts[chosen[hit]], self.spelled.values[found[hit]]
+        lengths = words.ends[chosen[hit]] - first
+        other = lengths != self.spelled.values[found[hit] + 1] - known
+        lengths[other] = 0
+        unequal = words.points[spans_to_index(first, lengths)] != self.points.values[spans_to_index(known, lengths)]
+        if unequal.any():
+            other[np.repeat(np.arange(len(hit)), lengths)[unequal]] = True
+        alien = np.zeros(len(chosen), bool)
+        alien[hit[other]] = True
+        return found, alien
+
+    def _learn(self, words: Words, chosen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Encode words with new hashes and return their numbers."""
+        ids, counts = self.encode(words.strings(chosen))
+        lengths = words.ends[chosen] - words.starts[chosen]
+        self.points.add(words.points[spans_to_index(words.starts[chosen], lengths)])
+        self.spelled.add(self.spelled.values[-1] + np.cumsum(lengths))
+        self.ids.add(ids)
+        self.ends.add(self.ends.values[-1] + np.cumsum(counts))
+        made = np.arange(self.size, self.size + len(chosen))
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.entries = np.insert(self.hashes, at, hashes[order]), np.insert(self.entries, at, made[order])
+        self.size += len(chosen)
+        return made
 
     def __call__(self, words: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
-        if len(self.known) > MOST_WORDS:
+        if self.size > MOST_WORDS:
             self.forget()
         codes, distinct = pd.factorize(words.hashes)
         first = np.zeros(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        entry = self._entries(words.strings(first))[codes]
-        strangers = np.flatnonzero(words.differ(first[codes]))
-        if len(strangers):  # another word with the hash of one met before in this batch
-            strings = words.strings(strangers)
-            single = list(dict.fromkeys(strings))
-            entry[strangers] = self._entries(single)[[single.index(s) for s in strings]]
-        lengths = self.counts[entry]
-        flat = self.ids[spans_to_index(self.starts[entry], lengths)]
-        total = np.zeros(len(entry) + 1, np.int64)
+        entry, alien = self._find(words, first, distinct)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            entry[new] = self._learn(words, first[new], distinct[new])
+        source, ends = self.ids.values, self.ends.values
+        starts, lengths = ends[entry][codes], np.diff(ends)[entry][codes] if len(entry) else np.zeros(0, np.int64)
+        strangers = np.flatnonzero(words.differ(first[codes]) | alien[codes])
+        if len(strangers):  # other words with the hash of one met before are encoded by themselves
+            single, number = np.unique(np.array(words.strings(strangers), object), return_inverse=True)
+            ids, counts = self.encode(single.tolist())
+            starts[strangers] = (len(source) + np.cumsum(counts) - counts)[number]
+            lengths[strangers] = counts[number]
+            source = np.append(source, ids.astype(np.uint32))
+        flat = source[spans_to_index(starts, lengths)]
+        total = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
         edges = np.searchsorted(words.text, np.arange(texts + 1))
         return flat, np.diff(total[edges])

@@ -55,6 +55,27 @@ def test_words_that_share_a_hash_are_told_apart():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_remembered_words_share_a_hash():
+    """A word with the hash of one remembered from an earlier batch is another word, and memory may be forgotten between."""
+    split, library = Splitter(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    known = WordIds(library_encoder(library))
+    for text in ("alpha beta", "beta beta gamma", "", "gammas alpha 7", "delta"):
+        words = split(pa.array([text, None, text]))
+        words.hashes = words.hashes % np.uint64(2)
+        ids, counts = known(words, 3)
+        want = library.encode(text, add_special_tokens=False).ids
+        assert counts.tolist() == [len(want), 0, len(want)] and ids.tolist() == want * 2
+    assert known.size <= 2
+
+
+def test_workers_load_no_more_than_they_need():
+    """Plain texts are cut without the library's tables, and ids are spelled from the file alone."""
+    library, split = Tokenizer.from_file(TOKENIZER), Splitter(TOKENIZER)
+    split(pa.array(["plain words, 12 of them"]))
+    assert "library" not in vars(split)
+    assert bpe.id_strings(TOKENIZER) == {i: s for s, i in library.get_vocab(with_added_tokens=True).items()}
+
+
 def test_span_hashes_depend_on_the_span_alone():
     values = mix(np.tile(np.arange(50, dtype=np.uint64) % 7, 400))
     whole = SpanHash(values)
