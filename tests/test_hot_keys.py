@@ -338,3 +338,20 @@ def test_signals_of_a_hot_host(spark):
     split = detect.delivery_signals(detect.evaluations(deliveries, target=9), rules)
     assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
     assert detect.delivery_signals(detect.evaluations(deliveries), no_rules(spark)).count() > 0
+
+
+def test_fleet_rules_leave_the_rows_with_their_hosts(spark):
+    """Rules as of each row: the work after them is dealt by host, not by the slices of the one fleet key."""
+    from hostpulse.operators import rules as R
+
+    rows = spark.range(4000).selectExpr("concat('h', id % 50) AS host_id", "id * 10 AS ingest_seq")
+    log = spark.range(1000).selectExpr(
+        "id AS version", "id * 40 + 1 AS ingest_seq", "'HIGH_CPU' AS rule_type", "IF(id % 5 = 0, concat('h', id % 50), NULL) AS host_id",
+        "CAST(id % 90 AS DOUBLE) AS threshold", "true AS enabled", "timestamp'2024-01-01' AS updated_at",
+    )
+    judged = [R.with_effective_rules(rows, R.RuleLog(log, slice_rows=n), spread="ingest_seq", rule_types=("HIGH_CPU",)) for n in (300, 10**9)]
+    plan = judged[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "host_id" in next(line for line in plan.splitlines() if "Window" in line).split("windowspecdefinition(")[1].split(",")[0]
+    small, whole = (sorted((r["ingest_seq"], r["rule_HIGH_CPU"]["threshold"], r["rule_HIGH_CPU"]["source"]) for r in j.collect()) for j in judged)
+    assert small == whole and len(small) == 4000
+    assert {source for _, _, source in small} == {"default", "fleet", "host"}
