@@ -61,8 +61,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their number, and the digest of the text that they decode to; null texts count as empty."""
-    # the texts themselves end here: they need not go through a second worker
-    encoded = bpe.encode_bpe(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids")
+    # the texts themselves end here; ids are written and read again, so that a task has one worker at a time and not two
+    encoded = staged(bpe.encode_bpe(docs.select("doc_id", "text"), TOKENIZER).select("doc_id", "ids"), "encoded")
     coded = bpe.decode_bpe(encoded, TOKENIZER)
     return coded.select(
         "doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",

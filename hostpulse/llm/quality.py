@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import os
+import tempfile
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,7 +115,34 @@ def bags(features: Features, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.n
         yield (keys[a:b] & 0xFFFFFFFF).astype(np.int32), (counts[a:b] / max(1, total)).astype(np.float32)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+class Shelf(Sequence):
+    """Bags in an unnamed temporary file, each read as it is asked for; memory holds only where each one ends."""
+
+    def __init__(self):
+        self.file, self.ends = tempfile.TemporaryFile(buffering=0), [0]
+
+    def add(self, index: np.ndarray, amount: np.ndarray) -> None:
+        raw = memoryview(index.tobytes() + amount.tobytes())
+        self.ends.append(self.ends[-1] + len(raw))
+        while raw:
+            raw = raw[self.file.write(raw) :]
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, end = self.ends[i], self.ends[i + 1]
+        raw = bytearray()
+        while len(raw) < end - at:
+            part = os.pread(self.file.fileno(), end - at - len(raw), at + len(raw))
+            if not part:
+                raise EOFError(f"bag {i} ends early")
+            raw += part
+        half = len(raw) // 2
+        return np.frombuffer(raw[:half], np.int32), np.frombuffer(raw[half:], np.float32)
+
+
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, buckets: int = BUCKETS, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Stochastic gradient descent over bags; classes weigh the same, the rate falls linearly.
 
     With one class only, all features stay neutral and the bias names that class; without rows the score is 0.5.
@@ -146,6 +175,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, buck
     return Model(vectors, weights, bias)
 
 
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all texts and labels that come, in one task; whatever their length, their bags do not fill its memory."""
+    features, rows, found = Features(), Shelf(), []
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            for bag in bags(features, piece.column("text")):
+                rows.add(*bag)
+            found += piece.column("label").to_pylist()
+    yield pa.RecordBatch.from_pydict({"model": [train(rows, np.array(found, np.int64)).dumps()]})
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", usable: Column | None = None, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Fit the classifier on whole texts of at most ``rows_per_class`` labelled rows of each class.
 
@@ -162,15 +202,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", i
     one = texts.groupBy("l_id", "label").agg(F.min("text").alias("text"))
     texts = one.select("l_id", "label", "text").orderBy(F.xxhash64("l_id"), "l_id", "label").coalesce(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, rows, found = Features(), [], []
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                rows += list(bags(features, piece.column("text")))
-                found += piece.column("label").to_pylist()
-        yield pa.RecordBatch.from_pydict({"model": [train(rows, np.array(found, np.int64)).dumps()]})
-
-    made = texts.mapInArrow(run, "model binary").collect()
+    made = texts.mapInArrow(_learned, "model binary").collect()
     return Model.loads(bytes(made[0]["model"])) if made else train([], np.zeros(0, np.int64))
 
 

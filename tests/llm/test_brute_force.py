@@ -9,6 +9,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +261,32 @@ def test_a_repeated_id_is_learned_once(spark):
     assert np.isfinite(model.vectors).all()
 
 
+def test_bags_come_back_from_the_shelf_and_give_the_same_model():
+    texts = [" ".join(RNG.choice(["good", "fine", "text", "bad"]) for _ in range(RNG.randrange(30))) for _ in range(40)] + ["", None]
+    rows, shelf = list(quality.bags(quality.Features(), pa.array(texts, pa.string()))), quality.Shelf()
+    for bag in rows:
+        shelf.add(*bag)
+    assert len(shelf) == len(rows) == len(texts)
+    assert all((a == c).all() and (b == d).all() and c.dtype == a.dtype and d.dtype == b.dtype for (a, b), (c, d) in zip(rows, shelf))
+    labels = np.array([i % 2 for i in range(len(texts))], np.int64)
+    assert quality.train(rows, labels).dumps() == quality.train(shelf, labels).dumps()
+
+
+def test_fitting_does_not_hold_the_bags_of_all_texts():
+    def batches(n):
+        for i in range(n):
+            text = " ".join(f"{RNG.getrandbits(40):x}" for _ in range(4000))
+            yield pa.RecordBatch.from_pydict({"text": [text], "label": [i % 2]})
+
+    peaks = []
+    for n in (4, 80):  # a bag of these texts has about 1 MB
+        tracemalloc.start()
+        assert len(list(quality._learned(batches(n)))) == 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + (10 << 20)
+
+
 # --- secrets
 
 

@@ -60,3 +60,11 @@ def test_pipeline(spark, tmp_path):
         assert np.frombuffer(rows[i]["ids"], "<u4").tolist() == ids and rows[i]["n_tokens"] == len(ids)
         decoded = library.decode(ids, skip_special_tokens=False)
         assert rows[i]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_encoding_and_decoding_take_turns(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 10), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    coded = corpus_pipeline.encode(spark, docs, sf_dir)
+    # one worker for a task, not one that encodes and one that decodes
+    assert coded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: r["n_tokens"] > 0 for r in coded.collect()} == {1: True, 2: False}
