@@ -39,10 +39,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # nobody waits for a stage's marker; it would be two more files, made by the driver
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Documents (each with what belongs to it) that a task of a stage takes, once their number is known.
+DOCUMENTS_PER_TASK = 10_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks, and so files, of the stages made of these documents (already written, so that counting reads no column).
+
+    One for every core at least, and more as the documents grow: a shuffle of many partitions would otherwise end in as many small files.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, splits(df.count(), DOCUMENTS_PER_TASK))
+
+
 #: Rows of a counted table up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -37,7 +37,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], names=["node", "label"])
 
 
-def components(links: DataFrame, *, few: int = FEW_LINKS) -> DataFrame:
+def components(links: DataFrame, *, few: int = FEW_LINKS, tasks: int | None = None) -> DataFrame:
     """``node`` and ``label`` (the component's smallest node) for links ``a`` - ``b`` of whole numbers; self-links and repeats are fine.
 
     Each round ranks the nodes anew by a hash, gives every node the first of itself and its neighbours (partial minima,
@@ -45,9 +45,13 @@ def components(links: DataFrame, *, few: int = FEW_LINKS) -> DataFrame:
     A round is expected to leave at most three quarters of the nodes that still have links (half of a chain's), whatever
     the diameter, and always fewer than before, so rounds need no cap.  As soon as no more than ``few`` links are left they are united in
     one task.  The rounds' maps shrink alike; they are followed
-    from the last to the first.  Every step is a table in the shared folder, so lineage does not grow.
+    from the last to the first.  Every step is a table in the shared folder, so lineage does not grow.  ``tasks`` bounds its files.
     """
-    edges = staged(_pairs(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "a", "b"), "edges")
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        return staged(df if tasks is None else df.coalesce(tasks), name)
+
+    edges = stage(_pairs(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "a", "b"), "edges")
     steps: list[DataFrame] = []
     while edges.count() > few:
 
@@ -56,16 +60,16 @@ def components(links: DataFrame, *, few: int = FEW_LINKS) -> DataFrame:
 
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("near"))
-        step = staged(near.select(F.col("a").alias("node"), F.when(rank("near") < rank("a"), F.col("near")).otherwise(F.col("a")).alias("label")), "steps")
+        step = stage(near.select(F.col("a").alias("node"), F.when(rank("near") < rank("a"), F.col("near")).otherwise(F.col("a")).alias("label")), "steps")
         ends = [step.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in ("a", "b")]
         moved = edges.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("a_label <> b_label")
-        edges = staged(_pairs(moved, "a_label", "b_label"), "edges")
+        edges = stage(_pairs(moved, "a_label", "b_label"), "edges")
         steps.append(step)
     labels = staged(edges.coalesce(1).mapInArrow(_united, "node long, label long"), "labels")
     if not steps:
         return labels
     while steps:
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = staged(steps.pop().join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
-    smallest = staged(labels.groupBy("label").agg(F.min("node").alias("least")), "smallest")
-    return staged(labels.join(smallest, "label").select("node", F.col("least").alias("label")), "labels")
+        labels = stage(steps.pop().join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+    smallest = stage(labels.groupBy("label").agg(F.min("node").alias("least")), "smallest")
+    return stage(labels.join(smallest, "label").select("node", F.col("least").alias("label")), "labels")

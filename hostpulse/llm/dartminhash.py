@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import flat, mix, pieces, spans_to_index, splits, staged, unused
+from hostpulse.llm.common import flat, mix, pieces, spans_to_index, splits, staged, tasks_for, unused
 from hostpulse.llm.components import components
 from hostpulse.llm.shingles import Shingler
 
@@ -165,14 +165,14 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shape(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _shape(members: DataFrame, turn: int, tasks: int) -> tuple[DataFrame, DataFrame]:
     """One member and the size of each class in a bucket; leader and largest class of the buckets with several.
 
     In the first turn the members that meet most others in all their buckets go first: the text that many were copied
     from shares more bands with each of them than they do with each other.  Later it is one of the largest class.
     """
     order = F.struct((F.lit(0) if turn else -F.col("met")).cast("long").alias("met"), F.xxhash64(F.lit(turn), "id").alias("o"), "id")
-    of_class = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m"))
+    of_class = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m")).coalesce(tasks)
     leader = F.max_by("m", F.struct("n", "label")) if turn else F.min("m")
     mixed = of_class.groupBy("band").agg(
         F.count(F.lit(1)).alias("classes"), leader.alias("leader"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")
@@ -241,7 +241,7 @@ def _census(texts: DataFrame, order: Order) -> DataFrame:
     return texts.select("elements").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
+def _rare_elements(texts: DataFrame, similarity: float, tasks: int) -> DataFrame:
     """Per text (``id``, ``label``, ``elements``) its rarest elements as buckets, their place in the text's order, its size.
 
     Two texts of at least this similarity share one of the first n - ceil(similarity x n) + 1 of the common order.  Of
@@ -253,7 +253,7 @@ def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
     size = texts.agg(F.sum(F.length("elements"))).first()[0]
     gathered = texts.coalesce(splits(size, CENSUS_BYTES))
     order = Order(min(max((size // 64).bit_length(), SLOT_BITS[0]), SLOT_BITS[1]))
-    for row in _census(gathered, order).collect():  # at most one row per slot, whatever the data
+    for row in _census(gathered, order).coalesce(tasks).collect():  # at most one row per slot, whatever the data
         order.often[row["slot"]] = min(row["n"], (1 << 31) - 1)
     shared = context.broadcast(order)
     share, slots = similarity / (1 + similarity), 1 << order.bits
@@ -273,7 +273,7 @@ def _rare_elements(texts: DataFrame, similarity: float) -> DataFrame:
     met = gathered.mapInArrow(survey, "slot long, low long, high long, short long").groupBy("slot")
     several = met.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("short").alias("short")).where("low < high")
     shortest = np.full(slots, -1)
-    for row in several.collect():  # at most one row per slot
+    for row in several.coalesce(tasks).collect():  # at most one row per slot
         shortest[row["slot"]] = row["short"]
     partner = context.broadcast(shortest)
 
@@ -303,7 +303,7 @@ def _may_reach(similarity: float) -> Column:
     return left + F.lit(1e-6) >= (F.col("size") + F.col("x_size")) * F.lit(similarity / (1 + similarity))
 
 
-def _pairs(members: DataFrame, nodes: DataFrame, turn: int, last: bool, similarity: float) -> DataFrame:
+def _pairs(members: DataFrame, nodes: DataFrame, turn: int, last: bool, similarity: float, tasks: int) -> DataFrame:
     """Candidate pairs (a < b) of different classes.
 
     Each class sends one member of a bucket, a different one each turn, and each is paired with the bucket's leader, whose
@@ -311,25 +311,25 @@ def _pairs(members: DataFrame, nodes: DataFrame, turn: int, last: bool, similari
     bucket's largest class, which is linear in the bucket's rows.  Texts of fuller buckets are paired where they share one
     of their rarest elements early enough: all similar ones do, whereas those that share a common passage alone do not.
     """
-    of_class, mixed = _shape(members, turn)
+    of_class, mixed = _shape(members, turn, tasks)
     stars = of_class.join(mixed, "band").where(F.col("m.id") != F.col("leader.id")).select(*_ends(F.col("m.id"), F.col("leader.id")))
     if not last:
-        return stars.distinct()
-    mixed = staged(mixed, "mixed-buckets")
-    pairs = stars.union(_across(members, mixed.where(F.col("outside") <= SMALL_BUCKET)))
-    wide = members.join(mixed.where(F.col("outside") > SMALL_BUCKET).select("band"), "band", "left_semi").select("id", "label").distinct()
-    texts = staged(nodes.select("id", "elements").join(wide, "id"), "wide-texts")
+        return stars.coalesce(tasks).distinct()
+    mixed = staged(mixed.coalesce(tasks), "mixed-buckets")
+    pairs = stars.coalesce(tasks).union(_across(members, mixed.where(F.col("outside") <= SMALL_BUCKET)).coalesce(tasks))
+    wide = members.join(mixed.where(F.col("outside") > SMALL_BUCKET).select("band"), "band", "left_semi").select("id", "label").coalesce(tasks).distinct()
+    texts = staged(nodes.select("id", "elements").join(wide, "id").coalesce(tasks), "wide-texts")
     if not texts.isEmpty():
-        rare = staged(_rare_elements(texts, similarity), "rare-elements")
-        pairs = pairs.union(_across(rare, _shape(rare, turn)[1], _may_reach(similarity)))
+        rare = staged(_rare_elements(texts, similarity, tasks), "rare-elements")
+        pairs = pairs.union(_across(rare, _shape(rare, turn, tasks)[1], _may_reach(similarity)).coalesce(tasks))
     return pairs.distinct()
 
 
-def _verified(pairs: DataFrame, marks: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, marks: DataFrame, elements: DataFrame, similarity: float, tasks: int) -> DataFrame:
     def with_both(df: DataFrame, side: DataFrame, name: str) -> DataFrame:
         a = side.select(F.col("id").alias("a"), F.col(name).alias(f"a_{name}"))
         b = side.select(F.col("id").alias("b"), F.col(name).alias(f"b_{name}"))
-        return df.join(a, "a").join(b, "b").select("a", "b", f"a_{name}", f"b_{name}")
+        return df.coalesce(tasks).join(a, "a").coalesce(tasks).join(b, "b").select("a", "b", f"a_{name}", f"b_{name}").coalesce(tasks)
 
     likely = staged(with_both(pairs, marks, "marks").mapInArrow(_agreement, "a long, b long"), "likely-pairs")
     exact = with_both(likely, elements, "elements").mapInArrow(_similarity, "a long, b long, similarity double")
@@ -356,35 +356,36 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         .select("key.*", F.xxhash64("digest").alias("id"), "bands", "marks", "elements"),
         "sketches",
     )
+    tasks = tasks_for(sketched)
     with_words = sketched.where(F.length("elements") > 0)
-    bands = with_words.select("id", F.posexplode("bands").alias("n", "value")).select(F.xxhash64("n", "value").alias("band"), "id").distinct()
+    bands = with_words.select("id", F.posexplode("bands").alias("n", "value")).select(F.xxhash64("n", "value").alias("band"), "id").distinct().coalesce(tasks)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = F.sum("c").over(Window.partitionBy("id")).alias("met")
-    buckets = staged(bands.join(shared, "band").select("band", "id", met), "buckets")
+    buckets = staged(bands.join(shared, "band").coalesce(tasks).select("band", "id", met).coalesce(tasks), "buckets")
     # one row of each node that shares a bucket, with what comparing needs
     head = with_words.join(buckets.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
         F.min("doc_id").alias("h_doc"), F.min("text_hash").alias("h_any")
     )
     heads = head.select(F.col("id").alias("h_id"), "h_doc", "h_any")
     at_head = (F.col("id") == F.col("h_id")) & F.when(F.col("h_doc").isNull(), F.col("text_hash") == F.col("h_any")).otherwise(F.col("doc_id") == F.col("h_doc"))
-    nodes = staged(with_words.join(heads, at_head).select("id", "marks", "elements").dropDuplicates(["id"]), "nodes")
+    nodes = staged(with_words.join(heads, at_head).select("id", "marks", "elements").dropDuplicates(["id"]).coalesce(tasks), "nodes")
     members = buckets.withColumn("label", F.col("id"))
     links, labels = None, None
     for turn in range(ROUNDS):
-        pairs = _pairs(members, nodes, turn, turn == ROUNDS - 1, similarity)
-        found = _verified(pairs, nodes.select("id", "marks"), nodes.select("id", "elements"), similarity).select("a", "b")
+        pairs = _pairs(members, nodes, turn, turn == ROUNDS - 1, similarity, tasks)
+        found = _verified(pairs, nodes.select("id", "marks"), nodes.select("id", "elements"), similarity, tasks).select("a", "b")
         if turn and found.isEmpty():
             if turn < ROUNDS - 1:
                 continue
             break
         links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = components(links, tasks=tasks)
         members = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        members = staged(members.select("band", "id", "label", "met"), "members")
+        members = staged(members.select("band", "id", "label", "met").coalesce(tasks), "members")
     rows = sketched.select("doc_id", "text_hash", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    rows = rows.select("doc_id", "text_hash", F.coalesce("label", "id").alias("label"))
+    rows = rows.select("doc_id", "text_hash", F.coalesce("label", "id").alias("label")).coalesce(tasks)
     smallest = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(smallest, "label").select("doc_id", "class_id", "text_hash", F.col("label").alias("class_key"))
+    return rows.join(smallest, "label").select("doc_id", "class_id", "text_hash", F.col("label").alias("class_key")).coalesce(tasks)
 
 
 def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -393,13 +394,12 @@ def keep_one(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     Of rows that repeat this id, and of classes without any id, one row stays.
     """
     classes = staged(near_duplicates(docs, text_col=text_col, id_col=id_col, similarity=similarity), "classes")
+    tasks = tasks_for(classes)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    one = staged(
-        first.groupBy("class_key", F.col("doc_id").alias("_k_id")).agg(F.min("text_hash").alias("_k_hash")).select("_k_id", "_k_hash").distinct(),
-        "kept-ids",
-    )
+    named = first.groupBy("class_key", F.col("doc_id").alias("_k_id")).agg(F.min("text_hash").alias("_k_hash")).coalesce(tasks)
+    one = staged(named.select("_k_id", "_k_hash").distinct().coalesce(tasks), "kept-ids")
     one = one.toDF(*(unused(docs, c) for c in ("kept_id", "kept_hash")))
     same = docs[id_col].eqNullSafe(one[one.columns[0]]) & (F.xxhash64(docs[text_col]) == one[one.columns[1]])
-    kept = docs.join(one, same, "left_semi")
-    repeated = classes.groupBy("doc_id", "text_hash").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    kept = docs.join(one, same, "left_semi").coalesce(tasks)
+    repeated = classes.groupBy("doc_id", "text_hash").count().where("count > 1").coalesce(tasks)
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col]).coalesce(tasks)

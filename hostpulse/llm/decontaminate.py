@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import bounded, staged, unused
+from hostpulse.llm.common import bounded, staged, tasks_for, unused
 
 #: Positions that each mask reads; the others are ignored.  Every window of 13 tokens with up to two
 #: substituted ones holds a place where each position of at least one mask is untouched.
@@ -63,7 +63,7 @@ def benchmark_seeds(benchmark: DataFrame, masks: Sequence[Sequence[int]], *, id_
     """Items with their token hashes and seeds, and all masks: short items add those of their length."""
     items = benchmark.select(F.col(id_col).alias("item_id"), token_hashes(F.col(text_col)).alias("item")).where(F.size("item") > 0)
     # at most WINDOW - SHORTEST lengths
-    short = [r[0] for r in items.where(F.size("item").between(SHORTEST, WINDOW - 1)).select(F.size("item")).distinct().orderBy(F.size("item")).collect()]
+    short = sorted(r[0] for r in items.where(F.size("item").between(SHORTEST, WINDOW - 1)).select(F.size("item")).distinct().coalesce(1).collect())
     every = [*map(tuple, masks)]
     n = F.size("item")
     found = F.when(n >= WINDOW, seeds(F.col("item"), masks)).when(n < SHORTEST, _whole(F.col("item")))
@@ -97,17 +97,18 @@ def overlaps(
     """
     items, every = benchmark_seeds(benchmark, masks, id_col=item_col, text_col=item_text_col)
     items = staged(items, "benchmark-items")
+    tasks = max(tasks_for(docs), tasks_for(items))
     item_seeds = items.select("item_id", F.explode("seeds").alias("s")).select(
         "item_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at")
     )
-    item_seeds = staged(item_seeds.distinct(), "benchmark-seeds")
+    item_seeds = staged(item_seeds.distinct().coalesce(tasks), "benchmark-seeds")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), token_hashes(F.col(text_col)).alias("h"))
     positions = keyed.select("doc_id", "text_hash", F.explode(F.concat(seeds(F.col("h"), every), _whole(F.col("h")))).alias("s")).select(
         "doc_id", "text_hash", F.col("s.seed").alias("seed"), F.col("s.at").alias("at")
     )
     hits = positions.join(bounded(item_seeds), "seed")
-    aligned = staged(hits.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "benchmark-hits")
-    hit_docs = aligned.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
+    aligned = staged(hits.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct().coalesce(tasks), "benchmark-hits")
+    hit_docs = aligned.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct().coalesce(tasks)
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     full = narrow.join(bounded(hit_docs), same).select("k_id", "k_hash", token_hashes(F.col("text")).alias("h"))
@@ -131,13 +132,13 @@ def overlaps(
     best = verified.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max(F.struct("matched", (-F.col("shift")).alias("back"))).alias("best")
     )
-    return best.select("doc_id", "text_hash", "item_id", "best.matched", (-F.col("best.back")).alias("at"))
+    return best.select("doc_id", "text_hash", "item_id", "best.matched", (-F.col("best.back")).alias("at")).coalesce(tasks)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without a verified overlap, all columns kept, nulls and repeated rows included."""
     found = overlaps(docs, benchmark, text_col=text_col, id_col=id_col, **options)
-    leaked = staged(found.select("doc_id", "text_hash").distinct(), "leaks")
+    leaked = staged(found.select("doc_id", "text_hash").distinct().coalesce(tasks_for(docs)), "leaks")
     leaked = leaked.toDF(*(unused(docs, c) for c in ("leak_id", "leak_hash")))
     same = docs[id_col].eqNullSafe(leaked[leaked.columns[0]]) & (F.xxhash64(docs[text_col]) == leaked[leaked.columns[1]])
     return docs.join(bounded(leaked), same, "left_anti")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import SpanHash, code_points, mix, pieces
+from hostpulse.llm.common import SpanHash, code_points, mix, pieces, tasks_for
 
 #: Learned vectors and their length.
 BUCKETS, DIMENSIONS = 1 << 18, 8
@@ -192,15 +192,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", i
     Rows are taken in the order of a hash of their id, so the sample is the same in every run.  Labels other than 0 and
     1 and null ids are left out, as are rows for which ``usable`` (a column over the labels) does not hold.
     """
+    tasks = tasks_for(labels)
     chosen = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).alias("label"), (F.lit(True) if usable is None else usable).alias("ok"))
-    chosen = chosen.where("ok AND l_id IS NOT NULL AND label IN (0, 1)").select("l_id", "label").distinct()
+    chosen = chosen.where("ok AND l_id IS NOT NULL AND label IN (0, 1)").select("l_id", "label").distinct().coalesce(tasks)
     order = [F.xxhash64("l_id"), F.col("l_id")]
     sample = chosen.where("label = 0").orderBy(*order).limit(rows_per_class).union(chosen.where("label = 1").orderBy(*order).limit(rows_per_class))
     # the sample is bounded by its two limits
     texts = docs.select(F.col(id_col).alias("l_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "l_id")
     # of rows that repeat an id one is learned, the first in order
     one = texts.groupBy("l_id", "label").agg(F.min("text").alias("text"))
-    texts = one.select("l_id", "label", "text").orderBy(F.xxhash64("l_id"), "l_id", "label").coalesce(1)
+    texts = one.select("l_id", "label", "text").coalesce(tasks).orderBy(F.xxhash64("l_id"), "l_id", "label").coalesce(1)
 
     made = texts.mapInArrow(_learned, "model binary").collect()
     return Model.loads(bytes(made[0]["model"])) if made else train([], np.zeros(0, np.int64))

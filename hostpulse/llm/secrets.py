@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostpulse.llm.common import staged, unused
+from hostpulse.llm.common import staged, tasks_for, unused
 
 #: The base kinds, in order, as (kind, pattern, group of the secret, least length of that group).
 BASE = (
@@ -114,7 +114,7 @@ def candidates(docs: DataFrame, *, text_col: str, id_col: str, owner: Column, re
     return found.withColumn("more", F.when((F.size("base") > 0) & (F.size("more") > 0), apart(F.col("more"), F.col("base"))).otherwise(F.col("more")))
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def ownership(found: DataFrame, tasks: int) -> DataFrame:
     """Candidate hashes by distinct owners and repositories: ``secret``, ``owners``, ``repositories``, ``copies``.
 
     Counted in two steps, first per (hash, owner, repository), so that a secret copied into very many documents
@@ -123,8 +123,8 @@ def ownership(found: DataFrame) -> DataFrame:
     each = found.select("owner", "repository", F.explode(F.concat("base", "more")).alias("s")).select(
         F.sha2("s.value", 256).alias("secret"), "owner", "repository"
     )
-    counted = each.groupBy("secret", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = counted.groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    counted = each.groupBy("secret", "owner", "repository").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
+    by_owner = counted.groupBy("secret", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n")).coalesce(tasks)
     return by_owner.groupBy("secret").agg(
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("copies")
     )
@@ -152,18 +152,19 @@ def scan_secrets(
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     found = staged(candidates(docs, text_col=text_col, id_col=id_col, owner=owner, repository=repository), "secret-candidates")
-    owned = ownership(found).where((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).select("secret")
+    tasks = tasks_for(found)
+    owned = ownership(found, tasks).where((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).select("secret")
     with_any = found.where((F.size("base") > 0) | (F.size("more") > 0))
     named = with_any.select(
         F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.posexplode(F.concat("base.value", "more.value")).alias("number", "value")
     ).select("k_id", "k_hash", "number", F.sha2("value", 256).alias("secret"))
-    live = named.join(owned, "secret").groupBy("k_id", "k_hash").agg(F.array_sort(F.collect_set("number")).alias("owned"))
+    live = named.join(owned, "secret").coalesce(tasks).groupBy("k_id", "k_hash").agg(F.array_sort(F.collect_set("number")).alias("owned"))
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
     judged = found.join(live, same, "left").withColumn("owned", F.coalesce("owned", F.array().cast("array<int>")))
     n = F.size("base")
     added = F.transform(F.filter("owned", lambda i: i >= n), lambda i: F.get("more", i - n))
     both = let(F.concat("base", "more"), lambda spans: F.transform("owned", lambda i: F.get(spans, i)))
-    return judged.select("doc_id", "text_hash", "base", added.alias("added"), F.array_sort(both).alias("live"))
+    return judged.select("doc_id", "text_hash", "base", added.alias("added"), F.array_sort(both).alias("live")).coalesce(tasks)
 
 
 def spelled(spans: Column) -> Column:
@@ -178,11 +179,13 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     """
     scanned = scan_secrets(docs, text_col=text_col, id_col=id_col, **options)
     spans = F.array_sort(F.concat("base", "added"))
+    tasks = tasks_for(docs)
     s_id, s_hash, s_spans = (unused(docs, c) for c in ("span_id", "span_hash", "spans"))
     hits = staged(
         scanned.select(F.col("doc_id").alias(s_id), F.col("text_hash").alias(s_hash), spans.alias(s_spans))
         .where(F.size(s_spans) > 0)
-        .dropDuplicates([s_id, s_hash]),
+        .dropDuplicates([s_id, s_hash])
+        .coalesce(tasks),
         "secret-spans",
     )
     same = docs[id_col].eqNullSafe(F.col(s_id)) & (F.xxhash64(docs[text_col]) == F.col(s_hash))
@@ -199,5 +202,5 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
         return F.concat(F.array_join(F.transform(s_spans, part), ""), F.substring(bytes_, last + 1, F.length(bytes_)).cast("string"))
 
     cut = let(text.cast("binary"), lambda b: let(reach, lambda ends: masked(b, ends)))
-    joined = docs.join(hits, same, "left")
+    joined = docs.join(hits, same, "left").coalesce(tasks)
     return joined.withColumn(text_col, F.when(F.col(s_spans).isNotNull(), cut).otherwise(text)).drop(s_id, s_hash, s_spans)
