@@ -35,6 +35,10 @@ SAMPLE_PER_CHUNK, MOST_SAMPLES = 400, 1 << 20
 #: Contexts (counted once per chunk) from which a gram is crowded, how many of them its estimate is taken from, and the
 #: contexts whose windows are hashed at once.
 MOST_CONTEXTS, SAMPLED_CONTEXTS, WINDOWED_CONTEXTS = 1 << 16, 1 << 8, 1 << 13
+#: Contexts whose leading bytes are copied at once.
+AT_ONCE = 1 << 16
+#: Chunks whose verdicts (and masks) are kept in one file of their stage.
+CHUNKS_PER_FILE = 64
 #: Segments up to here are finished by one sort.
 SMALL_SEGMENT = 1 << 12
 NO_ID = np.iinfo(np.int64).max
@@ -43,7 +47,10 @@ _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(5))
 
 @dataclass
 class Anchors:
-    """Anchors of a buffer of documents: place, first and last window start, gram and context hashes, document."""
+    """Anchors of a buffer of documents: place, first and last window start, gram and context hashes, document.
+
+    Places and numbers take 32 bits: a chunk's text is one Arrow array of strings, which holds less than 2^31 bytes.
+    """
 
     place: np.ndarray
     first: np.ndarray
@@ -67,7 +74,7 @@ def _slide(values: np.ndarray, width: int, smallest: bool) -> np.ndarray:
 def anchors(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Anchors:
     """Anchors of all windows of ``length`` bytes that lie within a document."""
     n, width = len(body), length - gram + 1
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
     if n < length:
         return Anchors(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     hasher = SpanHash(_BYTES[body])
@@ -89,7 +96,8 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     keep = (first <= last) & (place + gram <= offsets[document + 1])
     place, first, last, document = place[keep], first[keep], last[keep], document[keep]
     context = mix(hasher(first, last + length) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return Anchors(place, first, last, hashes[place], context, document)
+    narrow = (x.astype(np.int32) for x in (place, first, last))
+    return Anchors(*narrow, hashes[place], context, document.astype(np.int32))
 
 
 def _merged(parts: list[Anchors], shifts: list[tuple[int, int]]) -> Anchors:
@@ -105,7 +113,7 @@ class Chunk:
 
     def __init__(self, store: fs.FileSystem, path: str, length: int, gram: int):
         with store.open_input_stream(path) as source:
-            batch = pa.ipc.open_stream(io.BytesIO(zstandard.ZstdDecompressor().decompress(source.read()))).read_next_batch()
+            batch = pa.ipc.open_stream(pa.py_buffer(zstandard.ZstdDecompressor().decompress(source.read()))).read_next_batch()
         self.ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
         self.null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         self.body, self.offsets = flat(batch.column("text"))
@@ -127,7 +135,7 @@ class Chunk:
         order = np.lexsort((ids, f.context, f.gram))
         gram, context = f.gram[order], f.context[order]
         new = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])) if len(order) else np.zeros(0, bool)
-        number = np.zeros(len(order), np.int64)
+        number = np.zeros(len(order), np.int32)
         number[order] = np.cumsum(new) - 1
         head = order[new]
         return head, ids[head], number
@@ -135,7 +143,7 @@ class Chunk:
 
 def _grams(body: np.ndarray, places: np.ndarray, gram: int) -> np.ndarray:
     """Leading bytes of suffixes, comparable as they sort."""
-    wide = body[places[:, None] + np.arange(gram)] if len(places) else np.zeros((0, gram), np.uint8)
+    wide = np.lib.stride_tricks.sliding_window_view(body, gram)[places] if len(places) else np.zeros((0, gram), np.uint8)
     return np.ascontiguousarray(wide).view(f"S{gram}").reshape(-1)
 
 
@@ -149,7 +157,7 @@ def write_chunks(docs: DataFrame, path: str, *, id_col: str, text_col: str, chun
 
         def flush() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            sink = io.BytesIO()
+            sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema) as out:
                 out.write_batch(whole)
             name = f"{uuid.uuid4().hex}.chunk"
@@ -241,7 +249,10 @@ def crowded_grams(manifest: DataFrame, path: str, most_contexts: int, length: in
 
 def _buckets(chunk: Chunk, head: np.ndarray, bounds: np.ndarray, gram: int, crowded: np.ndarray) -> np.ndarray:
     """The bucket of each context; those of crowded grams get a number behind the last one and are sent to none."""
-    bucket = np.searchsorted(bounds, _grams(chunk.body, chunk.found.place[head], gram), side="right")
+    bucket = np.zeros(len(head), np.int32)
+    for i in range(0, len(head), AT_ONCE):
+        some = slice(i, i + AT_ONCE)
+        bucket[some] = np.searchsorted(bounds, _grams(chunk.body, chunk.found.place[head[some]], gram), side="right")
     bucket[np.isin(chunk.found.gram[head], crowded)] = len(bounds) + 1
     return bucket
 
@@ -468,20 +479,38 @@ def _compare_of(length: int, gram: int):
     return run
 
 
-def _spans(chunk: Chunk, covered: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal removed runs from the starts of covered windows: document, start, end."""
-    delta = np.zeros(len(chunk.body) + 1, np.int32)
-    np.add.at(delta, covered, 1)
-    np.add.at(delta, covered + length, -1)
-    gone = np.cumsum(delta[:-1]) > 0
-    edge = np.zeros(len(gone) + 1, bool)
-    edge[chunk.offsets] = True
-    begin = gone.copy()
-    begin[1:] &= ~gone[:-1] | edge[1:-1]
-    end = gone.copy()
-    end[:-1] &= ~gone[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    return np.searchsorted(chunk.offsets, starts, side="right") - 1, starts, ends
+def _spans(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal removed runs from the starts and ends of covered spans, each inside a document: document, start, end."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], ends[order]
+    reach = np.maximum.accumulate(ends)
+    document = np.searchsorted(chunk.offsets, starts, side="right") - 1
+    # runs that touch are one, but not across a border of documents
+    new = np.append(True, (starts[1:] > reach[:-1]) | (document[1:] != document[:-1])) if len(starts) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return document[first], starts[first].astype(np.int64), reach[np.append(first[1:], len(starts))[: len(first)] - 1].astype(np.int64)
+
+
+def _removed(chunk: Chunk, whole: np.ndarray, bits: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal removed runs of a chunk: all windows of the anchors in ``whole``, and those in the others' bit masks."""
+    f = chunk.found
+    some = np.flatnonzero(whole)
+    # an anchor's windows start one after the other: together they cover one span
+    begin, end = [f.first[some]], [f.last[some] + length]
+    part = np.flatnonzero(~whole & (bits != 0))
+    for o in range(length - gram + 1):
+        at = part[(bits[part] >> np.uint32(o)) & np.uint32(1) == 1]
+        begin.append(f.place[at] - o)
+        end.append(f.place[at] - o + length)
+    return _spans(chunk, np.concatenate(begin), np.concatenate(end))
+
+
+def _outside(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marks of the bytes that lie in none of the spans, which do not overlap."""
+    inside = np.zeros(size + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    return np.cumsum(inside[:-1], dtype=np.int8) == 0
 
 
 def remove_repeats(
@@ -520,7 +549,9 @@ def remove_repeats(
     spread = manifest.select("chunk").repartition(min(chunks, 1 << 16), "chunk")
     crowded = crowded_grams(spread, path, most_contexts, length, gram)
     packed = census(spread, path, bounds, crowded, length, gram)
-    verdicts = staged(packed.groupBy("bucket").applyInPandas(_judge, "bucket int, chunk string, verdicts binary"), "verdicts")
+    # what chunks are told is small: few files hold it, whatever the number of tasks that make it
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, splits(chunks, CHUNKS_PER_FILE))
+    verdicts = staged(packed.groupBy("bucket").applyInPandas(_judge, "bucket int, chunk string, verdicts binary").repartition(files), "verdicts")
 
     def told(chunk: pa.Table) -> list[tuple[int, bytes]]:
         return list(zip(chunk.column("bucket").to_pylist(), chunk.column("verdicts").to_pylist()))
@@ -551,7 +582,7 @@ def remove_repeats(
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("where", pa.binary()), ("body", pa.binary())]))
 
     sent = names.cogroup(by_chunk(verdicts)).applyInArrow(send, "bucket int, chunk string, where binary, body binary")
-    masks = staged(sent.groupBy("bucket").applyInPandas(_compare_of(length, gram), "chunk string, masks binary"), "masks")
+    masks = staged(sent.groupBy("bucket").applyInPandas(_compare_of(length, gram), "chunk string, masks binary").repartition(files), "masks")
     answers = verdicts.unionByName(masks, allowMissingColumns=True)
     if len(crowded):
         windows = staged(crowded_windows(spread, path, crowded, length, gram), "crowded-windows")
@@ -582,16 +613,8 @@ def remove_repeats(
                     hit = (known[at] == key) & (smallest[at] < ids[context])
                     np.bitwise_or.at(bits, context[hit], np.uint32(1) << before[hit].astype(np.uint32))
             whole = (verdict[number] == COVERED) | (chunk.ids[f.document] > ids[number])
-            some = np.flatnonzero(whole)
-            covered = [spans_to_index(f.first[some], f.last[some] - f.first[some] + 1)]
-            part = np.flatnonzero(~whole & (bits[number] != 0))
-            for o in range(length - gram + 1):
-                at = part[(bits[number[part]] >> np.uint32(o)) & np.uint32(1) == 1]
-                covered.append(f.place[at] - o)
-            document, starts, ends = _spans(chunk, np.concatenate(covered), length)
-            gone = np.zeros(len(chunk.body), bool)
-            gone[spans_to_index(starts, ends - starts)] = True
-            left = chunk.body[~gone]
+            document, starts, ends = _removed(chunk, whole, bits[number], length, gram)
+            left = chunk.body[_outside(len(chunk.body), starts, ends)]
             sizes = np.diff(chunk.offsets)
             lost = np.bincount(document, weights=ends - starts, minlength=len(sizes)).astype(np.int64)
             kept_at = np.append(0, np.cumsum(sizes - lost))
