@@ -26,7 +26,13 @@ FILE_TEXT_BYTES = 32 << 20
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits of each value."""
+    """Bits of each value; looked up where all are short, as token ids are."""
+    if len(values) and values.max() < len(_SHORT):
+        return _SHORT[values]
+    return _wide_widths(values)
+
+
+def _wide_widths(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values), np.uint8)
     rest = values.astype(np.uint64)
     for step in (32, 16, 8, 4, 2, 1):
@@ -37,6 +43,9 @@ def _widths(values: np.ndarray) -> np.ndarray:
     return out + (rest != 0).astype(np.uint8)
 
 
+_SHORT = _wide_widths(np.arange(1 << 16))
+
+
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit words of the values and each block's first word; blocks have ``block`` values, the last what is left.
 
@@ -46,58 +55,62 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     n = len(values)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    values = values.astype(np.uint64)
+    values = values.astype(np.uint64, copy=False)
     blocks = splits(n, block)
     first = np.arange(blocks) * block
     ends = np.minimum(first + block, n)
-    selector = _selectors(_widths(values), np.repeat(ends, ends - first))
+    selector = _selectors(_widths(values), block)
+    # values by block, with as many zeros behind each block as a word may reach past it
+    stride = block + max(c for c, b in SELECTORS if b)
+    padded = np.zeros((blocks, stride), np.uint64)
+    padded[: n // block, :block] = values[: n // block * block].reshape(-1, block)
+    padded[n // block :, : n % block] = values[n // block * block :]
+    padded = padded.reshape(-1)
     count = np.array([1, *(c for c, _ in SELECTORS)], np.int64)
     # walk all blocks in step: which values start a word
-    visited = [first]
+    head = np.zeros(n, bool)
+    head[first] = True
     at, stop = first, ends
     while len(at):
         at = at + count[selector[at]]
         live = at < stop
         at, stop = at[live], stop[live]
-        visited.append(at)
-    heads = np.sort(np.concatenate(visited))
+        head[at] = True
+    heads = np.flatnonzero(head)
     chosen = selector[heads]
     length = 1 + (chosen == 0)
     place = np.cumsum(length) - length
     words = np.zeros(int(length.sum()), np.uint64)
-    limit = np.repeat(ends, ends - first)[heads]
+    source = heads // block * stride + heads % block
     for k, (c, b) in enumerate(SELECTORS, 1):
         rows = np.flatnonzero(chosen == k)
         if not len(rows):
             continue
         word = np.full(len(rows), np.uint64(k) << np.uint64(60), np.uint64)
+        start = source[rows]
         for j in range(c if b else 0):
-            position = heads[rows] + j
-            value = values[np.minimum(position, n - 1)]
-            word |= np.where(position < limit[rows], value, np.uint64(0)) << np.uint64(j * b)
+            word |= padded[start + j] << np.uint64(j * b)
         words[place[rows]] = word
     escaped = np.flatnonzero(chosen == 0)
     words[place[escaped] + 1] = values[heads[escaped]]
     return words, place[np.searchsorted(heads, first)]
 
 
-def _selectors(width: np.ndarray, limit: np.ndarray) -> np.ndarray:
+def _selectors(width: np.ndarray, block: int) -> np.ndarray:
     """The selector with most values for a word that starts at each position, 0 where only the escape fits."""
-    best = np.zeros(len(width), np.uint8)
-    narrow = None
-    for k, (c, b) in enumerate(SELECTORS, 1):
-        if b >= int(width.max()):
-            best[:] = k
-            continue
-        # runs of values that are narrow enough; each level looks only at what was narrow before
-        narrow = np.flatnonzero(width <= b) if narrow is None else narrow[width[narrow] <= b]
-        if not len(narrow):
-            break
-        last = np.append(np.flatnonzero(np.diff(narrow) != 1), len(narrow) - 1)
-        stop = np.repeat(narrow[last] + 1, np.diff(np.append(-1, last)))
-        # a run that reaches the block's end is as good as one that is long enough
-        best[narrow[(stop >= limit[narrow]) | (stop - narrow >= c)]] = k
-    return best
+    n, blocks = len(width), splits(len(width), block)
+    widest = np.zeros((blocks, block), np.uint8)  # of as many values as a selector takes; none count past a block's end
+    widest.reshape(-1)[:n] = width
+    best = np.zeros((blocks, block), np.uint8)
+    have = 1
+    for c, b in SELECTORS:
+        while have < c:
+            step = min(have, c - have)
+            if step < block:
+                widest[:, :-step] = np.maximum(widest[:, :-step], widest[:, step:])
+            have += step
+        best += widest <= b  # what fits a selector fits all before it, which take fewer and longer values
+    return best.reshape(-1)[:n]
 
 
 def unpack(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:

@@ -136,7 +136,7 @@ class Splitter:
         starts, ends = self._cut(kinds, low, offsets)
         words = Words(
             SpanHash(self.mixed[low])(starts, ends),
-            np.searchsorted(offsets, starts, side="right") - 1,
+            np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, offsets))),
             starts,
             ends,
             low,
