@@ -44,6 +44,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the files of a stage (as ``staged`` returned it) that nothing will read again."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        delete_folder(df.sparkSession, folder)
+
+
 #: Documents (each with what belongs to it) that a task of a stage takes, once their number is known.
 DOCUMENTS_PER_TASK = 10_000
 

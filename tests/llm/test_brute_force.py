@@ -390,3 +390,20 @@ def test_full_lists_are_cut_again(spark):
         found[r["query_id"]].add(r["vec_id"])
     assert all(len(found[q * 20]) == 10 for q in range(150))
     assert np.mean([len(found[q * 20] & set(b.tolist())) / 10 for q, b in enumerate(best)]) >= 0.9
+
+
+def test_runs_of_queries_find_what_one_run_finds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(1500, 8)).astype(np.float32)
+    data[700:720] = data[700]
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    single = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    double = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = []
+    for table, size in ((single, postings.QUERY_BYTES), (double, 10_000)):
+        monkeypatch.setattr(postings, "QUERY_BYTES", size)
+        got = postings.nearest_vectors(table, k=4, is_query=F.col("vec_id") % 20 == 0, list_vectors=32, most_lists=5).collect()
+        found.append(sorted(tuple(r) for r in got))
+    assert len(found[0]) == 75 * 4 and found[0] == found[1]
+    for q, _, i, score in found[0]:
+        assert score == (data[q].astype(float) * data[i].astype(float)).sum()
